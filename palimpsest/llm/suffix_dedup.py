@@ -115,11 +115,13 @@ def _marked(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFra
     unstage(every)
     unstage(again)
     _release(spark)
-    mixed = repeated.filter("mixed").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    of = stage(repeated.filter("mixed").join(mixed, ["anchor", "context"]), "mixed")
+    own = repeated.filter("mixed").withColumn("name", F.xxhash64("id", "mark", "lo"))
+    mixed = own.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"))
+    of = stage(own.join(mixed, ["anchor", "context"]).select("id", "mark", "lo", "hi", "n", (F.col("name") == F.col("least")).alias("first")), "mixed")
+    _release(spark)
     whole = repeated.filter("not mixed").select("id", "mark", "lo", "hi").unionByName(of.filter("n > 1").select("id", "mark", "lo", "hi"))
-    # of equal contexts, those of one document stand for all
-    return whole, of.filter("n = 1 or id = least").select("id", "mark", "lo", "hi")
+    # of equal contexts, one stands for all
+    return whole, of.filter("first").select("id", "mark", "lo", "hi")
 
 
 def _by_document(spans: DataFrame, name: str) -> DataFrame:
