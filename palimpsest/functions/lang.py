@@ -5,28 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.fixed import HIRAGANA, LANGUAGE_MARKERS, LANGUAGES, SCRIPT_LANGUAGES, SCRIPT_RANGES
 from palimpsest.functions.text import W, literals
 
-SCRIPTS = {"arabic": ("؀", "ۿ", "ar"), "cjk": ("一", "鿿", "zh"), "cyrillic": ("Ѐ", "ӿ", "ru"), "devanagari": ("ऀ", "ॿ", "hi"),
-           "hangul": ("가", "힯", "ko"), "hiragana": ("぀", "ゟ", "ja"), "katakana": ("゠", "ヿ", "ja"), "latin": ("\u0000", "ɏ", None), "thai": ("฀", "๿", "th")}
-#: Words that mark a language, in the order that breaks ties.
-MARKERS = {k: tuple(v.split()) for k, v in (x.split(":") for x in (
-    "en:for it that in of to and are is the|es:un del las los es en que de la el|fr:que une un en des les et de la le|de:mit zu ist das von den in und die der|"
-    "pt:ao do da os uma com para em que de|it:della del con una un per la il che di|nl:te op dat is in van en een het de|"
-    "zh:为 这 他 有 我 和 了 在 是 的|ja:た ます です と で に を が は の|ko:고 다 은 는 에 의 가 이 를 을").split("|"))}
-KNOWN = tuple("en zh es fr de ja ko ru ar pt it nl hi th vi".split())
-ROMAJI = dict(zip("あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん",
-                  "a i u e o ka ki ku ke ko sa shi su se so ta chi tsu te to na ni nu ne no ha hi fu he ho ma mi mu me mo ya yu yo ra ri ru re ro wa wo n".split()))
-
-
 def script_count(text: Column, name: str) -> Column:
-    a, z, _ = SCRIPTS[name]
-    return F.length(F.regexp_replace(text, f"[^\\x{{{ord(a):x}}}-\\x{{{ord(z):x}}}]", ""))
+    a, z = SCRIPT_RANGES[name]
+    return F.length(F.regexp_replace(text, f"[^\\x{{{a:x}}}-\\x{{{z:x}}}]", ""))
 
 
 def scripts(text: Column) -> Column:
     """The scripts that occur, sorted."""
-    return F.array_compact(F.array(*[F.when(script_count(text, s) > 0, s) for s in sorted(SCRIPTS)]))
+    return F.array_compact(F.array(*[F.when(script_count(text, s) > 0, s) for s in sorted(SCRIPT_RANGES)]))
 
 
 def detect(text: Column, default: str = "en") -> Column:
@@ -35,13 +24,13 @@ def detect(text: Column, default: str = "en") -> Column:
     Null and blank texts are the default's with confidence 0.
     """
     solid = F.length(F.regexp_replace(text, r"\s", ""))
-    others = [s for s in SCRIPTS if s != "latin"]
+    others = list(SCRIPT_LANGUAGES)
     best = F.array_max(F.array(*[F.struct((script_count(text, s) / solid).alias("share"), F.lit(-k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(others)]))
     kana = script_count(text, "hiragana") + script_count(text, "katakana")
-    lang = F.create_map(*[F.lit(x) for s in others for x in (s, SCRIPTS[s][2])])
+    lang = F.create_map(*[F.lit(x) for s in others for x in (s, SCRIPT_LANGUAGES[s])])
     by_script = F.when((best["s"] == "cjk") & (kana > F.length(text) * 0.1), "ja").otherwise(F.element_at(lang, best["s"]))
     ws = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
-    hits = F.array_max(F.array(*[F.struct(F.size(F.array_intersect(ws, literals(m))).alias("n"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, (c, m) in enumerate(MARKERS.items())]))
+    hits = F.array_max(F.array(*[F.struct(F.size(F.array_intersect(ws, literals(m))).alias("n"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, (c, m) in enumerate(LANGUAGE_MARKERS.items())]))
     out = lambda c, p: F.struct(c.alias("language"), p.cast("double").alias("confidence"))
     return (F.when(text.isNull() | (solid == 0), out(F.lit(default), F.lit(0.0))).when(best["share"] >= 0.3, out(by_script, best["share"]))
             .when(hits["n"] == 0, out(F.lit(default), F.lit(0.3))).otherwise(out(hits["c"], F.least(F.lit(1.0), hits["n"] / F.lit(10.0) * 2))))
@@ -49,7 +38,7 @@ def detect(text: Column, default: str = "en") -> Column:
 
 def from_code(code: Column) -> Column:
     two = F.substring(F.lower(code), 1, 2)
-    return F.when(two.isin(*KNOWN), two).otherwise("unknown")
+    return F.when(two.isin(*LANGUAGES), two).otherwise("unknown")
 
 
 def sentences(text: Column, lang: str = "en") -> Column:
@@ -70,5 +59,5 @@ def tokens_mixed(text: Column) -> Column:
 
 
 def romaji(text: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in ROMAJI.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in HIRAGANA.items() for x in kv])
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")

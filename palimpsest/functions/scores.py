@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _table(said: str) -> dict[str, float]:
-    """Weights written as percentages."""
-    return {k: int(v) / 100 for k, v in (x.split(":") for x in said.split())}
-
-
-ENTITY_WEIGHTS = _table("concept:70 event:65 location:60 organization:90 other:50 person:100 product:70 project:85 quantity:30 time:40")
-FACT_WEIGHTS = _table("action:70 attribute:80 belief:85 experience:75 intention:80 membership:70 other:50 possession:60 preference:90 relation:85 state:60")
-EVENT_WEIGHTS = _table("action:70 answer:60 completion:80 decision:90 discovery:85 error:70 other:50 question:50 request:65 resolution:95 state_change:60")
+from palimpsest.fixed import ENTITY_WEIGHTS, EVENT_WEIGHTS, FACT_WEIGHTS
 
 
 def weight_of(kind: Column, table: dict[str, float], default: float) -> Column:

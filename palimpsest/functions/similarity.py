@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import EVENT_STOPWORDS, literals, word_set
-
-SYNONYMS = {name: tuple(said.split("|")) for name, said in {
-    "being": "was|were|is|are|be", "work": "employed by|employed at|works for|works at", "liking": "prefers|loves|enjoys|likes",
-    "owning": "possesses|owns|has", "living": "located in|resides in|lives in"}.items()}
-CONTRADICTING = ("is", "has name", "was born in", "lives in")
-
+from palimpsest.fixed import CONTRADICTING_PREDICATES, EVENT_STOPWORDS, PREDICATE_SYNONYMS
+from palimpsest.functions.text import literals, word_set
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 where both are empty."""
@@ -50,7 +45,7 @@ def weighted_equality(a: str, b: str) -> Column:
 def synonym_group(predicate: Column) -> Column:
     """The group a predicate is in, or null."""
     out = None
-    for name, members in SYNONYMS.items():
+    for name, members in ((m[0], m) for m in PREDICATE_SYNONYMS):
         hit = F.lower(predicate).isin(*members)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
@@ -71,13 +66,13 @@ def recall_similarity(a: str, b: str) -> Column:
 def contradicts(a: str, b: str) -> Column:
     """Same subject and predicate, and either the same object negated once, or another object of a functional predicate."""
     col = lambda s, f: F.col(f"{s}.{f}")
-    eq = lambda f: F.lower(col(a, f)) == F.lower(col(b, f))
+    eq = lambda f: col(a, f) == col(b, f)
     return eq("subject") & eq("predicate") & (
-        (eq("object") & (col(a, "negated") != col(b, "negated"))) | (~eq("object") & F.lower(col(a, "predicate")).isin(*CONTRADICTING)))
+        (eq("object") & (col(a, "negated") != col(b, "negated"))) | (~eq("object") & col(a, "predicate").isin(*CONTRADICTING_PREDICATES)))
 
 
 def entails(a: str, b: str) -> Column:
-    eq = lambda f: F.lower(F.col(f"{a}.{f}")) == F.lower(F.col(f"{b}.{f}"))
+    eq = lambda f: F.col(f"{a}.{f}") == F.col(f"{b}.{f}")
     return eq("subject") & eq("predicate") & eq("object")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.fixed import STOPWORDS
+
 #: A word character in any script: what \w alone is not in Java.
 W = r"[\p{L}\p{N}_]"
 IS_FACT = rf"(?i)({W}+(?:\s+{W}+)?)\s+(?:is|am|are)\s+(?:a\s+)?({W}+(?:\s+{W}+)?)"
@@ -12,20 +14,6 @@ WORKS_FACT = rf"(?i)({W}+)\s+works?\s+(?:at|for)\s+({W}+(?:\s+{W}+)?)"
 NAME_FACT = rf"(?i)(?:my|the)\s+name\s+is\s+({W}+)"
 QUESTION = r"[^.!?]*\?"
 
-STOPWORDS = tuple("""
-should every other their where which both each from have just more most only same some such than that them they this
-very were what when will with your all and are but can few for had has her him how its nor not now our own the too was
-who why you an as at be by he in is it me my no of on so to we a i
-""".split())
-TOPIC_STOPWORDS = tuple("""
-between further through before during please should thanks about above after again being below could every hello might
-other thank there these those under where which whose would been both does down each else from have here into just more
-most must once only same some such than that then they this very were what when whom will with all and any are but can
-did few for had has how may nor not out own she the too was who why yes you an at be by do he hi if in is it no of ok on
-or so to up we a i
-""".split())
-EVENT_STOPWORDS = tuple("were been was are the be to an is a".split())
-
 
 def literals(values) -> Column:
     """An array of string literals."""

@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.fixed import INVERSE_RELATIONS, RELATION_FAMILIES
+
 MENTIONS = "array<struct<turn:int,start:int,end:int>>"
 SCHEMAS = {
     "turns": "conv_id bigint, turn int, role string, content string",
@@ -16,11 +18,6 @@ SCHEMAS = {
     "events": "conv_id bigint, evt_id string, ord bigint, description string, event_type string, turn int, participants array<string>, related_facts array<string>, importance double",
     "sequences": "conv_id bigint, seq_id string, ord bigint, summary string, sequence_type string, events array<struct<evt_id:string,turn:int,event_type:string,description:string,participants:array<string>,importance:double>>",
 }
-ENTITY_TYPES = tuple("person organization location project concept event product time quantity other".split())
-INVERSE = {a: b for x, y in (("before", "after"), ("causes", "caused_by"), ("elaborates", "summarizes"), ("entails", "entails")) for a, b in ((x, y), (y, x))}
-FAMILIES = {"temporal": ("before", "after", "during", "simultaneous"), "causal": ("causes", "caused_by", "enables", "prevents"),
-            "logical": ("entails", "contradicts", "supports", "refutes"), "semantic": ("elaborates", "summarizes", "equivalent", "similar")}
-
 
 @dataclass(frozen=True)
 class Memory:
@@ -151,13 +148,13 @@ def equivalents(relations: DataFrame, facts: DataFrame) -> DataFrame:
 
 def inverse(relations: DataFrame) -> DataFrame:
     """Each relation turned round; a type without an inverse becomes related."""
-    table = F.create_map(*[F.lit(x) for kv in INVERSE.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in INVERSE_RELATIONS.items() for x in kv])
     return relations.select("conv_id", F.concat("rel_id", F.lit("_inv")).alias("rel_id"), F.col("dst").alias("src"), F.col("src").alias("dst"),
-                            F.coalesce(F.element_at(table, F.col("rtype")), F.lit("related")).alias("rtype"), "confidence", "bidirectional")
+                            F.coalesce(F.element_at(table, F.col("rtype")), F.lit("related")).alias("rtype"), "confidence", "bidirectional", F.col("rtype").alias("was"))
 
 
 def family(rtype: Column) -> Column:
     out = None
-    for name, members in FAMILIES.items():
+    for name, members in RELATION_FAMILIES.items():
         out = F.when(rtype.isin(*members), name) if out is None else out.when(rtype.isin(*members), name)
     return out

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import ir
+from palimpsest.fixed import MARKDOWN_HEADERS, QUERY_WORDS, STRUCTURED_HEADERS
 from palimpsest.functions import scores
 from palimpsest.functions.text import tokens_scaled, word_set
 from palimpsest.ir import Memory
 from palimpsest.operators import selection
 
-HEADERS = {"entity": "### Key Entities", "fact": "### Facts", "event": "### Events", "summary": "### Summary"}
 TYPE_ORDER = ("summary", "entity", "fact", "event")
 
 
@@ -58,7 +58,7 @@ def optimise(memory: Memory, query: str | None = None, how: str = "balanced", to
 def adaptive(things: DataFrame, query: str, budget: int, group: str = "conv_id") -> DataFrame:
     """Filtered as the kind of query asks, then the best by the mean of the three scores."""
     low = query.lower()
-    kind = next((k for k, ws in (("person", ("who", "name", "person")), ("temporal", ("when", "date", "time")), ("location", ("where", "location", "place"))) if any(w in low for w in ws)), "general")
+    kind = next((k for k, ws in QUERY_WORDS if any(w in low for w in ws)), "general")
     chosen = selection.select(things, **selection.criteria_for(kind))
     mean = (F.col("importance") + F.col("recency") + F.col("relevance")) / 3
     return chosen.join(selection.greedy(chosen, group, "id", "tokens", [-mean, F.col("ord")], F.lit(budget)), [group, "id"], "left_semi")
@@ -75,29 +75,44 @@ def overlap(things: DataFrame, query: str, least: int = 1) -> DataFrame:
     return things.filter(F.size(F.array_intersect(word_set(F.col("content")), F.array(*map(F.lit, sorted(set(query.lower().split())))))) >= least)
 
 
-def render(things: DataFrame, form: str = "plain", group: str = "conv_id") -> DataFrame:
-    """(group, text): plain, structured, xml, markdown or json; types in order of their first item."""
-    by = things.groupBy(group, "item_type").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "content", "importance"))).alias("l"))
-    c = lambda f: F.transform("l", f)
+def render(things: DataFrame, form: str = "plain", group: str = "conv_id", additional: str | None = None) -> DataFrame:
+    """(group, text): plain, structured, xml, markdown or json; types in order of their first item, additional text first."""
+    more = additional or ""
+    ordered = things.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(F.col("item_type").alias("type"), "content", "importance").alias("x")))).alias("l"))
     if form == "json":
-        flat = things.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(F.col("item_type").alias("type"), "content", "importance").alias("x")))).alias("l"))
-        return flat.select(group, F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["x"]).alias("items")).alias("context"))).alias("text"))
-    escaped = lambda x: F.replace(F.replace(x["content"], F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        body = F.struct(F.lit(more).alias("additional"), F.transform("l", lambda x: x["x"]).alias("items"))
+        return ordered.select(group, F.to_json(F.struct(body.alias("context"))).alias("text"))
+    if form == "plain":
+        lines = F.transform("l", lambda x: x["x"]["content"])
+        return ordered.select(group, F.array_join(F.concat(F.array(F.lit(more)), lines) if more else lines, "\n").alias("text"))
+    by = things.groupBy(group, "item_type").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("l"))
     kind = F.col("item_type")
-    header = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HEADERS.items() for x in kv]), kind), F.concat(F.lit("### "), F.initcap(kind)))
+
+    def header(table: dict[str, str], before: str) -> Column:
+        said = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+        return F.coalesce(F.element_at(said, kind), F.concat(F.lit(before), F.initcap(kind)))
+
+    def lines_of(line) -> Column:
+        return F.array_join(F.transform("l", line), "\n")
+
+    escaped = lambda x: F.replace(F.replace(x["content"], F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     block = {
-        "plain": F.array_join(c(lambda x: x["content"]), "\n"),
-        "structured": F.concat(F.lit("["), F.upper(kind), F.lit("S]\n"), F.array_join(c(lambda x: F.concat(F.lit("- "), x["content"])), "\n")),
-        "xml": F.concat(F.lit("  <"), kind, F.lit("s>\n"), F.array_join(c(lambda x: F.concat(F.lit("    <"), kind, F.lit(">"), escaped(x), F.lit("</"), kind, F.lit(">"))), "\n"), F.lit("\n  </"), kind, F.lit("s>")),
-        "markdown": F.concat(header, F.lit("\n"), F.array_join(c(lambda x: F.concat(F.lit("- "), x["content"])), "\n"), F.lit("\n")),
+        "structured": F.concat(F.lit("\n--- "), header(STRUCTURED_HEADERS, ""), F.lit(" ---\n"), lines_of(lambda x: F.concat(F.lit("• "), x["content"]))),
+        "xml": F.concat(F.lit("  <"), kind, F.lit("s>\n"), lines_of(lambda x: F.concat(F.lit("    <"), kind, F.lit(">"), escaped(x), F.lit("</"), kind, F.lit(">"))), F.lit("\n  </"), kind, F.lit("s>")),
+        "markdown": F.concat(header(MARKDOWN_HEADERS, "### "), F.lit("\n"), lines_of(lambda x: F.concat(F.lit("- "), x["content"])), F.lit("\n")),
     }[form]
     whole = by.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", block.alias("b")))), lambda x: x["b"]), "\n").alias("t"))
-    before, after = {"xml": ("<context>\n", "\n</context>"), "markdown": ("## Relevant Context\n\n", "")}.get(form, ("", ""))
-    return whole.select(group, F.concat(F.lit(before), "t", F.lit(after)).alias("text"))
+    before, middle, after = {
+        "structured": ("=== Relevant Context ===\n", f"\n{more}\n", "\n\n=== End Context ==="),
+        "xml": ("<context>\n", f"  <additional>{more}</additional>\n", "\n</context>"),
+        "markdown": ("## Relevant Context\n\n", f"{more}\n\n", ""),
+    }[form]
+    return whole.select(group, F.concat(F.lit(before + (middle if more else "")), "t", F.lit(after)).alias("text"))
 
 
 def prompt(system: Column, context: Column, user: Column) -> Column:
-    return F.concat_ws("\n\n", system, context, user)
+    """A whole prompt; a null system text or query has no part in it."""
+    return F.concat_ws("\n", F.concat(F.lit("System: "), system), F.concat(F.lit("\n"), context), F.concat(F.lit("\nUser: "), user))
 
 
 def utilisation(things: DataFrame, budget: int, group: str = "conv_id") -> DataFrame:

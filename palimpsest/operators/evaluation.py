@@ -72,14 +72,24 @@ def aggregate(samples: DataFrame, *by: str) -> DataFrame:
                                     F.floor(F.avg("tokens_saved")).cast("long").alias("mean_tokens_saved"))
 
 
-def qa_pairs(turns: DataFrame) -> DataFrame:
-    """(conv_id, question, answer) that the text itself answers: names, work, likes."""
-    ask = (("What is the user's name?", r"(?i)my name is ([\p{L}\p{N}_]+)"), ("Where does the user work?", r"(?i)(?:work|works) (?:at|for) ([\p{L}\p{N}_]+)"), ("What does the user like?", r"(?i)i (?:like|love|enjoy) ([\p{L}\p{N}_]+)"))
-    out = None
-    for q, e in ask:
-        part = turns.select("conv_id", "turn", F.lit(q).alias("question"), F.regexp_extract("content", e, 1).alias("answer")).filter("answer != ''")
-        first = part.groupBy("conv_id", "question").agg(F.min_by("answer", "turn").alias("answer"))
-        out = first if out is None else out.unionByName(first)
+# Questions, and expressions of their answers.
+QA_PATTERNS = (
+    ("What is the user's name?", r"(?i)my name is ([\p{L}\p{N}_]+)"),
+    ("Where does the user work?", r"(?i)I work (?:at|for) ([^.]+)"),
+    ("What does the user like?", r"(?i)I (?:like|love|enjoy) ([^.]+)"),
+)
+
+
+def qa_pairs(turns: DataFrame, personas: DataFrame | None = None) -> DataFrame:
+    """(conv_id, turn, question, answer): the first answer that each turn gives to each question.
+
+    personas (conv_id, traits) add a question for each of the first three traits, with a null turn.
+    """
+    found = F.array(*[F.struct(F.lit(q).alias("question"), F.trim(F.regexp_extract("content", e, 1)).alias("answer")) for q, e in QA_PATTERNS])
+    out = turns.select("conv_id", F.col("turn").cast("int").alias("turn"), F.explode(F.filter(found, lambda x: x["answer"] != "")).alias("x")).select("conv_id", "turn", "x.*")
+    if personas is not None:
+        asked = personas.select("conv_id", F.lit(None).cast("int").alias("turn"), F.explode(F.slice("traits", 1, 3)).alias("t"))
+        out = out.unionByName(asked.select("conv_id", "turn", F.concat(F.lit("Is it true that: "), "t", F.lit("?")).alias("question"), F.lit("yes").alias("answer")))
     return out
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import ir
+from palimpsest.fixed import FACT_TYPES, NOT_NAMES
 from palimpsest.functions import scores
 from palimpsest.functions.text import IS_FACT, NAME_FACT, WORKS_FACT, W, ident
 from palimpsest.ir import MENTIONS, Memory, conform
 
 BATCH = 10
-NOT_NAMES = ("i", "the", "a", "an", "my", "your")
 
 
 def _ord(rank: int, pos: Column) -> Column:
@@ -130,7 +130,6 @@ def parse_model_answer(said: Column, schema: str) -> Column:
 
 def from_rows(turns: DataFrame, raw: DataFrame) -> DataFrame:
     """Facts of parsed answers (conv_id, ord, subject, predicate, object, fact_type, confidence, turn); unknown types become other."""
-    kinds = ("attribute", "relation", "action", "state", "preference", "belief", "intention", "experience", "possession", "membership")
-    named = raw.withColumns({"fact_type": F.when(F.lower("fact_type").isin(*kinds), F.lower("fact_type")).otherwise("other"), "source_turns": F.array("turn"),
+    named = raw.withColumns({"fact_type": F.when(F.lower("fact_type").isin(*FACT_TYPES), F.lower("fact_type")).otherwise("other"), "source_turns": F.array("turn"),
                              "fact_id": ident("fact_", F.col("conv_id"), F.col("ord"), F.col("predicate")), "negated": F.lit(False), "temporal_scope": F.lit("present"), "importance": F.lit(0.0)})
     return conform(named.join(turns.select("conv_id").distinct(), "conv_id", "left_semi"), "facts")

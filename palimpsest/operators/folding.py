@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.fixed import FUNCTIONAL_PREDICATES
 from palimpsest.functions import similarity as sim
 from palimpsest.functions.text import word_set
 from palimpsest.ir import conform
 
-FUNCTIONAL = ("is", "has name", "lives in", "works at", "is located in", "has status", "has state")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,9 +20,24 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or "file:///tmp/checkpoints").rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            if not spark.sparkContext._jsc.sc().isStopped():
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the JVM may have gone first
+            return
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df written to the folder that all executors share and read again: what an iteration hands to the next."""
     path = f"{shared_folder(df.sparkSession)}/palimpsest-step-{uuid.uuid4().hex[:12]}"
+    _made.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -95,8 +111,8 @@ def merge_groups(facts: DataFrame, groups: DataFrame, strategy: str = "highest_c
 def entailed(facts: DataFrame, relations: DataFrame) -> DataFrame:
     """(conv_id, by, fact_id): facts that an earlier equal one or a relation entails."""
     a, b = facts.alias("a"), facts.alias("b")
-    same = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.lower("a.subject") == F.lower("b.subject")) & (F.lower("a.predicate") == F.lower("b.predicate"))
-                  & (F.lower("a.object") == F.lower("b.object")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.conv_id").alias("conv_id"), F.col("a.fact_id").alias("by"), F.col("b.fact_id").alias("fact_id"))
+    same = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.subject") == F.col("b.subject")) & (F.col("a.predicate") == F.col("b.predicate"))
+                  & (F.col("a.object") == F.col("b.object")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.conv_id").alias("conv_id"), F.col("a.fact_id").alias("by"), F.col("b.fact_id").alias("fact_id"))
     said = relations.filter("rtype = 'entails'").select("conv_id", F.col("src").alias("by"), F.col("dst").alias("fact_id"))
     return same.unionByName(said).distinct()
 
@@ -111,12 +127,12 @@ def droppable_entailed(facts: DataFrame, pairs: DataFrame) -> DataFrame:
 def contradictions(facts: DataFrame) -> DataFrame:
     """(conv_id, a, b): contradicting facts, the earlier first."""
     a, b = facts.alias("a"), facts.alias("b")
-    keys = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.lower("a.subject") == F.lower("b.subject")) & (F.lower("a.predicate") == F.lower("b.predicate"))
+    keys = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.subject") == F.col("b.subject")) & (F.col("a.predicate") == F.col("b.predicate"))
     return a.join(b, keys & (F.col("a.ord") < F.col("b.ord")) & sim.contradicts("a", "b")).select(
         F.col("a.conv_id").alias("conv_id"), F.col("a.fact_id").alias("a"), F.col("b.fact_id").alias("b"))
 
 
-def superseded(facts: DataFrame, predicates=FUNCTIONAL) -> DataFrame:
+def superseded(facts: DataFrame, predicates=FUNCTIONAL_PREDICATES) -> DataFrame:
     """(conv_id, fact_id): facts of a functional predicate that a later one of the subject replaces.
 
     The latest by last source turn stays, of equals the first. A partial aggregate finds it; a hot subject is no window.

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import ir
+from palimpsest.fixed import UNIQUE_PREDICATES
 from palimpsest.functions.similarity import cosine, fuzzy_name
 from palimpsest.ir import Memory
 from palimpsest.operators.selection import top_k
 
-UNIQUE = ("is", "has age", "was born", "lives in", "works at", "is married to", "has job", "has name", "is called")
 
 
 def _first(df: DataFrame, key: list[Column], latest: bool, *rank: Column) -> DataFrame:
@@ -74,7 +74,8 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float = 0.8, vector
         keyed(right.select("conv_id", "ent_id", "name", "aliases")).select("conv_id", F.col("ent_id").alias("ib"), "k"), ["conv_id", "k"]).select("conv_id", "ia", "ib").distinct()
     a, b = left.alias("a"), right.alias("b")
     both = key.join(a, (key["conv_id"] == F.col("a.conv_id")) & (key["ia"] == F.col("a.ent_id"))).join(b, (key["conv_id"] == F.col("b.conv_id")) & (key["ib"] == F.col("b.ent_id")))
-    return both.select(key["conv_id"], key["ia"].alias("a"), key["ib"].alias("b"), F.col("a.ord").alias("oa"), F.col("b.ord").alias("ob"), match_score("a", "b", vectors).alias("score")).filter(F.col("score") >= threshold)
+    scored = both.select(key["conv_id"], "ia", "ib", F.col("a.ord").alias("oa"), F.col("b.ord").alias("ob"), match_score("a", "b", vectors).alias("score")).filter(F.col("score") >= threshold)
+    return scored.select("conv_id", F.col("ia").alias("a"), F.col("ib").alias("b"), "oa", "ob", "score")
 
 
 def resolve(pairs: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def fact_conflicts(facts: DataFrame) -> DataFrame:
     before = F.struct("a.memory", "a.ord") < F.struct("b.memory", "b.ord")
     both = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.p") == F.col("b.p")) & before)
     unique = F.lit(False)
-    for u in UNIQUE:
+    for u in UNIQUE_PREDICATES:
         unique = unique | F.col("a.p").contains(u)
     kind = F.when(F.col("a.o") == F.col("b.o"), "duplicate_fact").when(unique, "contradictory_facts")
     return both.select(F.col("a.conv_id").alias("conv_id"), F.col("a.fact_id").alias("a"), F.col("b.fact_id").alias("b"), kind.alias("conflict"), (F.col("a.memory") != F.col("b.memory")).alias("cross")).filter("conflict is not null")

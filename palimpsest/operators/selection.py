@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from palimpsest.fixed import QUERY_WORDS
+
 #: Items times budget from which greedy choice takes the place of dynamic programming.
 CELLS = 1_000_000
 
@@ -162,8 +164,7 @@ def near_duplicates(items: DataFrame, group: str, threshold: float = 0.8) -> Dat
 def query_kind(query: Column) -> Column:
     """person, temporal, location, factual or general, by the first words that hit."""
     q = F.lower(query)
-    has = lambda *ws: q.rlike("|".join(ws))
-    return F.when(has("who", "name", "person"), "person").when(has("when", "date", "time"), "temporal").when(has("where", "location", "place"), "location").when(has("what", "how", "why"), "factual").otherwise("general")
+    return F.coalesce(*[F.when(q.rlike("|".join(ws)), kind) for kind, ws in QUERY_WORDS], F.lit("general"))
 
 
 def criteria_for(kind: str) -> dict:

@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from palimpsest.fixed import RELATED_EVENTS
 from palimpsest.functions.similarity import event_jaccard
 from palimpsest.functions.text import ident
 from palimpsest.ir import Memory, conform
 
-RELATED = (("question", "answer"), ("error", "resolution"), ("request", "completion"), ("action", "state_change"))
-
 
 def linked(gap: int = 5, similarity: float = 0.5) -> Column:
     """Whether an event continues the one before it (columns p_*)."""
     pair = F.concat_ws(">", F.least("p_type", "event_type"), F.greatest("p_type", "event_type"))
-    known = [">".join(sorted(p)) for p in RELATED]
+    known = [">".join(sorted(p)) for p in RELATED_EVENTS]
     near = F.arrays_overlap("p_participants", "participants") | (
         (F.col("p_type") == F.col("event_type")) & (event_jaccard(F.col("p_description"), F.col("description")) >= similarity)) | pair.isin(*known)
     return F.coalesce((F.col("turn") - F.col("p_turn") <= gap) & near, F.lit(False))

@@ -13,7 +13,7 @@ from palimpsest.ir import Memory
 from palimpsest.operators import temporal
 from palimpsest.operators.selection import top_k
 
-SHOWN_TYPES = tuple("person organization project concept location product other".split())
+SHOWN_TYPES = ("person", "organization", "project", "concept", "location", "product", "other")
 
 
 def spoken(subject: Column, predicate: Column, obj: Column, negated: Column, kind: Column) -> Column:
@@ -61,7 +61,6 @@ def structured(memory: Memory) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, SHOWN_TYPES)), F.col("type"))
     shown = _top(memory.entities, 10, "type").filter(F.col("type").isin(*SHOWN_TYPES)).join(described(memory), ["conv_id", "ent_id"])
     convs = lambda df: df.select("conv_id").distinct()
-    gap = F.lit("\n\n")
     ents = [_line(convs(memory.entities), 0, F.lit("## Key Entities")),
             _line(shown.select("conv_id", "type").distinct(), 1, F.concat(F.lit("\n### "), F.initcap("type"), F.lit("s")), rank),
             _line(shown, 1, F.concat(F.lit("- **"), "name", F.lit("**: "), "said"), rank, F.col("rank"))]
@@ -76,7 +75,6 @@ def structured(memory: Memory) -> DataFrame:
     time = [_line(convs(memory.events.select("conv_id").unionByName(memory.sequences.select("conv_id"))), 0, F.lit("## Timeline")),
             _line(convs(memory.sequences), 1, F.lit("\n### Event Sequences")), _line(seq, 2, F.format_string("- Turns %d-%d: %s", "start_turn", "end_turn", "summary"), F.col("ord")),
             _line(convs(memory.events), 3, F.lit("\n### Key Events")), _line(evts, 4, F.format_string("- [Turn %d] %s", "turn", "description"), F.col("rank"))]
-    del gap
     return sections(*[joined(reduce(DataFrame.unionByName, x)) for x in (ents, facts_, time)])
 
 

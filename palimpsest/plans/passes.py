@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import ir
+from palimpsest.fixed import TOPIC_STOPWORDS
 from palimpsest.functions import scores
-from palimpsest.functions.text import TOPIC_STOPWORDS, W, sentence, word_set, words
+from palimpsest.functions.text import W, sentence, word_set, words
 from palimpsest.ir import Memory
 from palimpsest.operators import folding, graph, selection, temporal
 

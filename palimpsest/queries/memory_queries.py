@@ -72,9 +72,9 @@ def src_chat_window(spark, d):
 
 
 @query("""SELECT c_nationkey::BIGINT AS conv_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, side) - 1)::INT AS turn, CASE side WHEN 0 THEN 'user' ELSE 'assistant' END AS role,
-  CASE side WHEN 0 THEN 'ask ' || c_custkey ELSE 'say ' || c_name END AS content FROM customer, (SELECT unnest([0, 1]) AS side) WHERE c_custkey < 200""")
+  CASE side WHEN 0 THEN 'ask ' || c_custkey ELSE 'say ' || c_name END AS content FROM customer, (SELECT unnest([0, 1]) AS side)""")
 def src_string_buffer(spark, d):
-    c = base.table(spark, d, "customer").filter("c_custkey < 200")
+    c = base.table(spark, d, "customer")
     part = F.concat(F.lit("Human: ask "), F.col("c_custkey").cast("string"), F.lit("\nAI: say "), "c_name")
     buffer = c.groupBy(F.col("c_nationkey").cast("bigint").alias("conv_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", part.alias("p")))), lambda x: x["p"]), "\n").alias("buffer"))
     return dialogues.from_buffer(buffer)
@@ -177,9 +177,9 @@ def agg_superseded(spark, d):
     return folding.superseded(f).join(f.select("conv_id", "fact_id", "ord"), ["conv_id", "fact_id"]).select("conv_id", "ord")
 
 
-@query(f"{L} SELECT a.conv_id, a.ord AS a, b.ord AS b FROM (SELECT * FROM ledger WHERE turn % 5 = 0) a JOIN (SELECT * FROM ledger WHERE turn % 5 = 0) b ON a.conv_id = b.conv_id AND a.ord < b.ord AND a.object <> b.object")
+@query(f"{L} SELECT a.conv_id, a.ord AS a, b.ord AS b FROM ledger a JOIN ledger b ON a.conv_id = b.conv_id AND a.ord < b.ord AND a.object <> b.object")
 def join_contradictions(spark, d):
-    f = base.ledger(spark, d).filter(F.element_at("source_turns", 1) % 5 == 0).withColumn("predicate", F.lit("is"))
+    f = base.ledger(spark, d).withColumn("predicate", F.lit("is"))
     o = lambda n: f.select("conv_id", F.col("fact_id").alias(n), F.col("ord").alias(f"o{n}"))
     return folding.contradictions(f).join(o("a"), ["conv_id", "a"]).join(o("b"), ["conv_id", "b"]).select("conv_id", F.col("oa").alias("a"), F.col("ob").alias("b"))
 
@@ -219,8 +219,7 @@ def join_both_ways(spark, d):
 @query(f"""WITH {_REL} SELECT conv_id, rel_id || '_inv' AS rel_id, dst AS src, src AS dst, CASE rtype WHEN 'before' THEN 'after' WHEN 'causes' THEN 'caused_by' WHEN 'elaborates' THEN 'summarizes' ELSE 'related' END AS rtype,
   CASE WHEN rtype = 'before' THEN 'temporal' WHEN rtype = 'causes' THEN 'causal' ELSE 'semantic' END AS family FROM rel""")
 def fn_inverse_relation(spark, d):
-    r = _customer_relations(spark, d)
-    return ir.inverse(r).join(r.select("conv_id", F.concat("rel_id", F.lit("_inv")).alias("rel_id"), ir.family(F.col("rtype")).alias("family")), ["conv_id", "rel_id"]).select("conv_id", "rel_id", "src", "dst", "rtype", "family")
+    return ir.inverse(_customer_relations(spark, d)).select("conv_id", "rel_id", "src", "dst", "rtype", ir.family(F.col("was")).alias("family"))
 
 
 _SIM = f"""w AS (SELECT conv_id, ord, subject, predicate, object, list_distinct({words_sql("concat_ws(' ', subject, predicate, object)")}) AS ws FROM facts),
@@ -563,10 +562,10 @@ def set_intersection_facts(spark, d):
     return merging.in_all(_two(spark, d), 2).select("conv_id", "object")
 
 
-@query(f"""{L}, f AS (SELECT *, CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END AS memory FROM ledger WHERE turn % 4 = 0)
+@query(f"""{L}, f AS (SELECT *, CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END AS memory FROM ledger)
 SELECT a.conv_id, a.ord AS a, b.ord AS b, CASE WHEN a.object = b.object THEN 'duplicate_fact' ELSE 'contradictory_facts' END AS conflict, a.memory <> b.memory AS "cross" FROM f a JOIN f b ON a.conv_id = b.conv_id AND (a.memory, a.ord) < (b.memory, b.ord)""")
 def join_fact_conflicts(spark, d):
-    f = _two(spark, d).filter(F.element_at("source_turns", 1) % 4 == 0).withColumn("predicate", F.lit("has name"))
+    f = _two(spark, d).withColumn("predicate", F.lit("has name"))
     o = lambda n: f.select("conv_id", F.col("fact_id").alias(n), F.col("ord").alias(f"o{n}"))
     return merging.fact_conflicts(f).join(o("a"), ["conv_id", "a"]).join(o("b"), ["conv_id", "b"]).select("conv_id", F.col("oa").alias("a"), F.col("ob").alias("b"), "conflict", "cross")
 
@@ -576,11 +575,11 @@ def join_type_conflicts(spark, d):
     return merging.type_conflicts(base.talked(spark, d).entities)
 
 
-@query("""SELECT s_nationkey::BIGINT AS conv_id, a.s_suppkey::VARCHAR AS a, b.c_custkey::VARCHAR AS b FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND right(a.s_name, 4) = right(b.c_name, 4) WHERE b.c_custkey <= 2000""")
+@query("""SELECT s_nationkey::BIGINT AS conv_id, a.s_suppkey::VARCHAR AS a, b.c_custkey::VARCHAR AS b FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND right(a.s_name, 4) = right(b.c_name, 4)""")
 def join_resolve_entities(spark, d):
     none = F.array().cast("array<string>")
     s = base.table(spark, d, "supplier").select(F.col("s_nationkey").cast("bigint").alias("conv_id"), F.col("s_suppkey").cast("string").alias("ent_id"), F.col("s_suppkey").cast("bigint").alias("ord"), F.substring("s_name", -4, 4).alias("name"), F.lit("person").alias("type"), none.alias("aliases"))
-    c = base.table(spark, d, "customer").filter("c_custkey <= 2000").select(F.col("c_nationkey").cast("bigint").alias("conv_id"), F.col("c_custkey").cast("string").alias("ent_id"), F.col("c_custkey").cast("bigint").alias("ord"), F.substring("c_name", -4, 4).alias("name"), F.lit("person").alias("type"), none.alias("aliases"))
+    c = base.table(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("conv_id"), F.col("c_custkey").cast("string").alias("ent_id"), F.col("c_custkey").cast("bigint").alias("ord"), F.substring("c_name", -4, 4).alias("name"), F.lit("person").alias("type"), none.alias("aliases"))
     return _exact(s, c)
 
 
@@ -631,8 +630,7 @@ def src_upsert(spark, d):
 
 @query()
 def src_graph_dot(spark, d):
-    m = base.people(spark, d)
-    return stores.dot(m.with_(facts=m.facts.filter("ord <= 50"), entities=m.entities.filter("ord <= 50 or type = 'location'")))
+    return stores.dot(base.people(spark, d))
 
 
 # ---- evaluation
@@ -664,7 +662,8 @@ def agg_histogram(spark, d):
     return evaluation.histogram(base.table(spark, d, "lineitem"), "l_quantity", "l_returnflag").select("l_returnflag", "count", "p50", "p95", "p99")
 
 
-@query(f"{T} SELECT conv_id, 'What is the user''s name?' AS question, arg_min(regexp_extract(content, '(?i)my name is ([\\p{{L}}\\p{{N}}_]+)', 1), turn) AS answer FROM turns GROUP BY conv_id UNION ALL SELECT conv_id, 'Where does the user work?', arg_min(regexp_extract(content, '(?i)(?:work|works) (?:at|for) ([\\p{{L}}\\p{{N}}_]+)', 1), turn) FROM turns GROUP BY conv_id")
+@query(f"""{T} SELECT conv_id, turn, 'What is the user''s name?' AS question, regexp_extract(content, '(?i)my name is ([\\p{{L}}\\p{{N}}_]+)', 1) AS answer FROM turns WHERE regexp_extract(content, '(?i)my name is ([\\p{{L}}\\p{{N}}_]+)', 1) <> ''
+UNION ALL SELECT conv_id, turn, 'Where does the user work?', trim(regexp_extract(content, '(?i)I work (?:at|for) ([^.]+)', 1)) FROM turns WHERE regexp_extract(content, '(?i)I work (?:at|for) ([^.]+)', 1) <> ''""")
 def fn_qa_pairs(spark, d):
     return evaluation.qa_pairs(base.talk(spark, d))
 

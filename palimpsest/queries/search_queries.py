@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.fixed import LANGUAGE_MARKERS, STOPWORDS
 from palimpsest.functions import lang, scores, similarity as sim
-from palimpsest.functions.text import STOPWORDS
 from palimpsest.operators import multilang, retrieval
 from palimpsest.queries import base
 from palimpsest.queries.base import EXTRACTED, TALK, TURNS, words_sql
@@ -116,7 +116,7 @@ def ret_chunks(spark, d):
 
 @query()
 def ret_hybrid(spark, d):
-    docs = base.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("embedding", retrieval.hashed_embedding(F.substring("text", 1, 1 << 30), 32))
+    docs = base.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("embedding", retrieval.hashed_embedding(F.col("text"), 32))
     asked = _asked(spark, d).withColumn("embedding", retrieval.hashed_embedding(F.col("query"), 32))
     return retrieval.hybrid(docs, asked, 5)
 
@@ -124,7 +124,7 @@ def ret_hybrid(spark, d):
 # ---- languages
 
 
-_MARK = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in lang.MARKERS.items()}
+_MARK = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in LANGUAGE_MARKERS.items()}
 _HITS = ", ".join(f"(len(list_intersect(ws, {m})), {-k}, '{c}')" for k, (c, m) in enumerate(_MARK.items()))
 
 
@@ -187,8 +187,7 @@ def fn_recency(spark, d):
     return base.table(spark, d, "orders").select("o_orderkey", F.round(scores.recency(age), 9).alias("recency"))
 
 
-@query(rf"""WITH {TURNS} SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0 ELSE (c + m) / n END, 9) AS density FROM (SELECT conv_id, turn, len({words_sql('content')}) AS n,
-  len(list_filter(regexp_extract_all(content, '([\p{{L}}\p{{N}}_]+)', 1), lambda w: regexp_matches(w, '^[A-Z][a-z]+$'))) AS c, len(list_filter(regexp_extract_all(content, '([\p{{L}}\p{{N}}_]+)', 1), lambda w: regexp_matches(w, '^[0-9]+$'))) AS m FROM turns WHERE NOT regexp_matches(content, '[0-9][/-]'))""")
+@query(rf"""WITH {TURNS} SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0 ELSE (c + m + dates) / n END, 9) AS density FROM (SELECT conv_id, turn, len({words_sql('content')}) AS n, len(regexp_extract_all(content, '\b[0-9]{{1,2}}[/-][0-9]{{1,2}}\b')) AS dates,
+  len(list_filter(regexp_extract_all(content, '([\p{{L}}\p{{N}}_]+)', 1), lambda w: regexp_matches(w, '^[A-Z][a-z]+$'))) AS c, len(list_filter(regexp_extract_all(content, '([\p{{L}}\p{{N}}_]+)', 1), lambda w: regexp_matches(w, '^[0-9]+$'))) AS m FROM turns)""")
 def fn_density(spark, d):
-    t = base.turns(spark, d).filter(~F.col("content").rlike("[0-9][/-]"))
-    return t.select("conv_id", "turn", F.round(scores.density(F.col("content")), 9).alias("density"))
+    return base.turns(spark, d).select("conv_id", "turn", F.round(scores.density(F.col("content")), 9).alias("density"))
