@@ -64,3 +64,41 @@ def chat_window(turns_: DataFrame, summaries: DataFrame, budget: int, n: int = 4
     large = size.filter(F.col("tokens") > budget)
     head = summaries.join(large, "conv_id", "left_semi").select("conv_id", F.lit(-1).alias("turn"), F.lit("system").alias("role"), F.col("text").alias("content"))
     return small.unionByName(head).unionByName(last(turns_.join(large, "conv_id", "left_semi"), n))
+
+
+def of_length(turns_: DataFrame, least: int, most: int) -> DataFrame:
+    """The turns of conversations with that many turns."""
+    n = turns_.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(least, most))
+    return turns_.join(n.select("conv_id"), "conv_id", "left_semi")
+
+
+_QUESTIONS = "array<struct<question:string,answer:string,entities:array<string>>>"
+
+
+def read_probes(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, dialogue, key_entities, key_facts, questions) of a JSON list of {context, questions, key_facts}."""
+    raw = spark.read.schema(f"context string, key_facts array<string>, questions {_QUESTIONS}").option("multiLine", True).json(path)
+    return probes(raw)
+
+
+def probes(raw: DataFrame) -> DataFrame:
+    none = lambda t: F.array().cast(t)
+    asked = F.coalesce("questions", none(_QUESTIONS))
+    names = F.flatten(F.transform(asked, lambda q: F.coalesce(q["entities"], none("array<string>"))))
+    text = F.coalesce("context", F.lit(""))
+    return raw.select(F.concat(F.lit("probe_"), F.substring(F.md5(F.concat(text, F.to_json(asked))), 1, 12)).alias("sample_id"), text.alias("dialogue"), F.array_sort(F.array_distinct(names)).alias("key_entities"),
+                      F.coalesce("key_facts", none("array<string>")).alias("key_facts"), asked.alias("questions"))
+
+
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, dialogue, reference_summary, key_entities, key_facts, questions) of JSON lines of long-context tasks."""
+    return tasks(spark.read.schema(f"context string, input string, query string, answer string, summary string, entities array<string>, questions {_QUESTIONS}").json(path))
+
+
+def tasks(raw: DataFrame) -> DataFrame:
+    none = lambda t: F.array().cast(t)
+    one = F.array(F.struct(F.col("query").alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), none("array<string>").alias("entities"))).cast(_QUESTIONS)
+    asked = F.coalesce("questions", F.when(F.col("query").isNotNull(), one), none(_QUESTIONS))
+    text = F.coalesce("context", "input", F.lit(""))
+    return raw.select(F.concat(F.lit("task_"), F.substring(F.md5(F.concat(text, F.to_json(asked))), 1, 12)).alias("sample_id"), text.alias("dialogue"), F.col("summary").alias("reference_summary"),
+                      F.coalesce("entities", none("array<string>")).alias("key_entities"), F.filter(F.transform(asked, lambda q: q["answer"]), lambda a: a != "").alias("key_facts"), asked.alias("questions"))

@@ -59,6 +59,24 @@ class TableStore:
             self.delete(k)
         return gone
 
+    def ttl(self, key: str, now: float) -> float | None:
+        """Seconds that a key has left; None where it does not expire or is not there."""
+        row = self.keys(key, now).filter(F.col("key") == key).first()
+        return None if row is None or row["expires_at"] is None else row["expires_at"] - now
+
+    def set_ttl(self, key: str, now: float, seconds: float | None) -> None:
+        """A key expires so many seconds from now; None: never."""
+        row = self.keys(key, now).filter(F.col("key") == key).first()
+        if row is None:
+            raise KeyError(key)
+        meta = self.spark.createDataFrame([(key, row["updated_at"], None if seconds is None else now + seconds)], "original string, updated_at double, expires_at double")
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/key={self._name(key)}")
+
+    def copy_to(self, path: str) -> None:
+        """All memories into another folder: a backup, or an export that TableStore(path) reads."""
+        for part, schema in [*((p, f"{s}, key string") for p, s in ir.SCHEMAS.items()), ("meta", "original string, updated_at double, expires_at double, key string")]:
+            self.spark.read.schema(schema).parquet(f"{self.path}/{part}").write.mode("overwrite").partitionBy("key").parquet(f"{path.rstrip('/')}/{part}")
+
     def table(self, part: str) -> DataFrame:
         """A component of all memories, with key."""
         return self.spark.read.schema(f"{ir.SCHEMAS[part]}, key string").parquet(f"{self.path}/{part}")
@@ -139,3 +157,54 @@ def dot(memory: Memory) -> DataFrame:
 def mermaid(memory: Memory) -> DataFrame:
     e = graph_edges(memory).select("conv_id", F.concat(F.lit("  "), F.col("a"), F.lit(" -->|"), F.col("label"), F.lit("| "), F.col("b")).alias("line"))
     return e.groupBy("conv_id").agg(F.concat(F.lit("graph LR\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("text"))
+
+
+def as_json(memory: Memory) -> DataFrame:
+    """(conv_id, part, json): each row of each component as one JSON object."""
+    return reduce(DataFrame.unionByName, (df.select("conv_id", F.lit(p).alias("part"), F.to_json(F.struct(*df.columns)).alias("json")) for p, df in memory.parts().items()))
+
+
+def from_json(rows: DataFrame) -> Memory:
+    """The memory that as_json() wrote."""
+    part = lambda p, schema: rows.filter(F.col("part") == p).select(F.from_json("json", schema).alias("x")).select("x.*")
+    return Memory(**{p: part(p, schema) for p, schema in ir.SCHEMAS.items()})
+
+
+def graph_json(memory: Memory) -> DataFrame:
+    """(conv_id, text): nodes and edges of each conversation as one JSON object."""
+    n = graph_nodes(memory).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("id", "label", "kind"))).alias("nodes"))
+    e = graph_edges(memory).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), "label"))).alias("edges"))
+    none = F.array().cast("array<struct<source:string,target:string,label:string>>")
+    return n.join(e, "conv_id", "left").select("conv_id", F.to_json(F.struct("nodes", F.coalesce("edges", none).alias("edges"))).alias("text"))
+
+
+def html(memory: Memory) -> DataFrame:
+    """(conv_id, text): a page that holds the graph's JSON."""
+    safe = F.replace(F.col("text"), F.lit("</"), F.lit("<\\/"))
+    return graph_json(memory).select("conv_id", F.concat(F.lit("<!DOCTYPE html>\n<html><body><script id=\"graph\" type=\"application/json\">"), safe, F.lit("</script></body></html>")).alias("text"))
+
+
+def outline(memory: Memory) -> DataFrame:
+    """(conv_id, text): counts, all names, ten facts, five relations and five events of each conversation."""
+    from palimpsest.functions.text import sentence
+    from palimpsest.operators.selection import top_k
+
+    rule = "=" * 50
+    lines = []
+
+    def add(section: int, df: DataFrame, line, order) -> None:
+        lines.append(df.select("conv_id", F.struct(F.lit(section).alias("s"), order.cast("bigint").alias("k"), line.alias("line")).alias("l")))
+
+    convs = memory.turns.select("conv_id").distinct()
+    for k, (part, title) in enumerate((("entities", "Entities"), ("facts", "Facts"), ("relations", "Relations"), ("events", "Events"))):
+        n = convs.join(getattr(memory, part).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "conv_id", "left")
+        add(10 * k, n, F.concat(F.lit(f"\n{title}: "), F.coalesce("n", F.lit(0)).cast("string")), F.lit(0))
+    many = memory.facts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 10")
+    add(1, memory.entities, F.concat(F.lit("  - "), "name", F.lit(" ("), "type", F.lit(")")), F.col("ord"))
+    add(11, top_k(memory.facts, 10, [F.col("ord")], "conv_id"), F.concat(F.lit("  - "), sentence(F.col("subject"), F.col("predicate"), F.col("object"), F.col("negated"))), F.col("ord"))
+    add(12, many, F.concat(F.lit("  ... and "), (F.col("n") - 10).cast("string"), F.lit(" more")), F.lit(0))
+    add(21, top_k(memory.relations, 5, [F.col("rel_id")], "conv_id"), F.concat(F.lit("  - "), "src", F.lit(" --"), "rtype", F.lit("--> "), "dst"), F.col("rank"))
+    add(31, top_k(memory.events, 5, [F.col("turn"), F.col("ord")], "conv_id"), F.concat(F.lit("  - Turn "), F.col("turn").cast("string"), F.lit(": "), F.substring("description", 1, 50), F.lit("...")), F.col("rank"))
+    got = reduce(DataFrame.unionByName, lines).groupBy("conv_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    body = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
+    return got.select("conv_id", F.concat(F.lit(f"{rule}\nMEMORY SUMMARY\n{rule}\n"), body, F.lit(f"\n\n{rule}")).alias("text"))
