@@ -1,15 +1,20 @@
-"""Removal of every byte that a repeated string of LENGTH bytes covers.
+"""Removal of every byte that a repeated string of LENGTH bytes covers, by external induced sorting.
 
-Of each window of LENGTH bytes, one GRAM-byte string inside is its anchor: the one with the least hash. Equal windows
-have equal anchors at equal places, so only windows whose anchor's string occurs again can repeat. A document's windows
-with one anchor are a run; a run whose whole context occurs again is repeated without looking further, and only where
-contexts differ are windows compared one by one. Windows meet by 64-bit polynomial hashes over a random byte table.
+Suffixes are sorted in shards. For that, equal windows of LENGTH bytes must meet in one shard, wherever they stand: of
+each window, the GRAM-byte string inside with the least hash is its anchor, equal windows have equal anchors, and a shard
+takes all windows of its anchors. A document's windows with one anchor are a run. Windows whose anchor occurs nowhere
+else cannot repeat, and a run whose whole context occurs again repeats without looking further: only the others are
+sorted. In a shard, neighbours in the order of suffixes that share LENGTH bytes are repeated windows.
+
+Anchors with over HOT different contexts would be one task's: their windows meet by 64-bit polynomial hashes instead,
+which any number of tasks can share, and so do those of texts that are no UTF-8.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import induced_sort
 from palimpsest.llm.common import bound_batches, bytes_of, key_of, stage, unstage
 
 LENGTH = 200
 GRAM = 100
 #: Bytes that are hashed at once: bounds what a long document takes.
 PIECE = 1 << 20
+#: Different contexts of an anchor beyond which its windows are compared by hash.
+HOT = 10_000
+#: Bytes of a shard on average; one that is larger is sorted with what does not fit ROOM rows on disk.
+SHARD_BYTES = 1 << 21
+ROOM = 1 << 22
+
+#: The largest byte of UTF-8, and what stands between the strings of a shard; bytes are one more there, and 0 ends it.
+_LAST, _BETWEEN = 0xF4, 0xF8
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = (1 << 24) - 1
@@ -95,33 +109,37 @@ def _ids(rows: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Staged (id, mark, lo, hi) of the runs that are repeated whole, and of those whose windows must be compared."""
+    """Staged (id, mark, lo, hi) of the runs that are repeated whole; and of those whose windows must be compared, with anchor, hot."""
     spark = docs.sparkSession
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for i, m, t in zip(b.column("id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist()):
+                odd = bool((np.frombuffer(t, np.uint8) > _LAST).any())
                 for lo, hi, anchor, context in runs(t, length, gram):
                     n = len(lo)
-                    cols = (np.full(n, i, np.int64), np.full(n, m, np.int64), lo.astype(np.int64), hi.astype(np.int64), anchor.view(np.int64), context.view(np.int64))
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["id", "mark", "lo", "hi", "anchor", "context"])
+                    cols = (np.full(n, i, np.int64), np.full(n, m, np.int64), lo.astype(np.int64), hi.astype(np.int64), anchor.view(np.int64), context.view(np.int64), np.full(n, odd))
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["id", "mark", "lo", "hi", "anchor", "context", "odd"])
 
-    found = _ids(docs).select("id", "mark", "text").mapInArrow(run, "id long, mark long, lo long, hi long, anchor long, context long")
+    found = _ids(docs).select("id", "mark", "text").mapInArrow(run, "id long, mark long, lo long, hi long, anchor long, context long, odd boolean")
     every = stage(found, "runs")
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("z"))
-    again = stage(again.filter("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed")), "again")
+    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("z"), F.max("odd").alias("any_odd"))
+    again = stage(again.filter("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed"), "any_odd"), "again")
     _release(spark)
-    repeated = stage(every.join(again, "anchor"), "repeated")
+    repeated = stage(every.drop("odd").join(again, "anchor"), "repeated")
     unstage(every)
     unstage(again)
     _release(spark)
     own = repeated.filter("mixed").withColumn("name", F.xxhash64("id", "mark", "lo"))
-    mixed = own.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"))
-    of = stage(own.join(mixed, ["anchor", "context"]).select("id", "mark", "lo", "hi", "n", (F.col("name") == F.col("least")).alias("first")), "mixed")
+    mixed = stage(own.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least")), "contexts")
+    hot = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > HOT).select("anchor", F.lit(True).alias("hot"))
+    of = own.join(mixed, ["anchor", "context"]).select("id", "mark", "lo", "hi", "anchor", "any_odd", "n", (F.col("name") == F.col("least")).alias("first"))
+    of = stage(of.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", "any_odd")), "mixed")
+    unstage(mixed)
     _release(spark)
     whole = repeated.filter("not mixed").select("id", "mark", "lo", "hi").unionByName(of.filter("n > 1").select("id", "mark", "lo", "hi"))
     # of equal contexts, one stands for all
-    return whole, of.filter("first").select("id", "mark", "lo", "hi")
+    return whole, of.filter("first").select("id", "mark", "lo", "hi", "anchor", "hot")
 
 
 def _by_document(spans: DataFrame, name: str) -> DataFrame:
@@ -153,6 +171,85 @@ def _windows(docs: DataFrame, runs_of: DataFrame, length: int) -> DataFrame:
         run, "id long, mark long, at long, hash long")
 
 
+def _strings(docs: DataFrame, runs_of: DataFrame, shards: int, length: int) -> DataFrame:
+    """(shard, id, mark, lo, string): the context of each run, all of an anchor in one shard."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            out = []
+            for i, m, t, spans in zip(b.column("id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist()):
+                out += [(x["shard"], i, m, x["lo"], t[x["lo"]:x["hi"] + length]) for x in spans]
+            cols = list(zip(*out)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["shard", "id", "mark", "lo", "string"])
+
+    dealt = runs_of.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    spans = dealt.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("spans"))
+    return _ids(docs).select("id", "mark", "text").join(spans, ["id", "mark"]).select("id", "mark", "text", "spans").mapInArrow(
+        run, "shard long, id long, mark long, lo long, string binary")
+
+
+class _Shard:
+    """The strings of a shard, one after the other; beyond ROOM bytes in a file."""
+
+    def __init__(self):
+        self.text, self.rows, self.sizes = tempfile.SpooledTemporaryFile(max_size=ROOM), [], []
+
+    def add(self, row: tuple[int, int, int], string: bytes) -> None:
+        self.text.write(string.translate(_SHIFTED))
+        self.text.write(bytes([_BETWEEN]))
+        self.rows.append(row)
+        self.sizes.append(len(string))
+
+    def repeated(self, length: int) -> list[np.ndarray]:
+        """id, mark, lo, hi of the stretches that repeated windows cover."""
+        self.text.write(b"\0")
+        self.text.seek(0)
+        if self.text._rolled:
+            self.text.flush()
+            t = np.memmap(self.text._file, np.uint8, "r")
+        else:
+            t = np.frombuffer(self.text.read(), np.uint8)
+        hit = np.flatnonzero(induced_sort.repeated(t, length, ROOM))
+        sizes = np.array(self.sizes)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        own = np.minimum(np.searchsorted(starts, hit, "right") - 1, len(starts) - 1)
+        whole = hit + length <= starts[own] + sizes[own]  # others reach beyond their string
+        hit, own = hit[whole], own[whole]
+        first = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (own[1:] != own[:-1])][: len(hit)])
+        last = np.r_[first[1:] - 1, len(hit) - 1][: len(first)]
+        rows = np.array(self.rows, np.int64).reshape(-1, 3)[own[first]]
+        offset = rows[:, 2] - starts[own[first]]
+        self.text.close()
+        return [rows[:, 0], rows[:, 1], hit[first] + offset, hit[last] + offset + length]
+
+
+_SHIFTED = bytes(min(b, _LAST) + 1 for b in range(256))
+
+
+def _sorted_spans(docs: DataFrame, runs_of: DataFrame, length: int) -> DataFrame:
+    """(id, mark, lo, hi) of what repeated windows of the runs cover, by sorting the suffixes of each shard."""
+    size = runs_of.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in shard.repeated(length)], ["id", "mark", "lo", "hi"])
+
+        shard, now = _Shard(), None
+        for b in parts:
+            for k, i, m, lo, s in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "mark", "lo", "string"))):
+                if k != now and shard.rows:
+                    yield emit()
+                    shard = _Shard()
+                now = k
+                shard.add((i, m, lo), s)
+        if shard.rows:
+            yield emit()
+
+    strings = _strings(docs, runs_of, max(1, -(-size // SHARD_BYTES)), length)
+    return strings.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "id long, mark long, lo long, hi long")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, mark, spans): the stretches of each text that repeated strings cover, as lists of (lo, hi), which may overlap.
 
@@ -160,14 +257,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """
     spark = docs.sparkSession
     whole, part = _marked(docs, length, gram)
-    windows = stage(_windows(docs, part, length), "windows")
+    found = stage(_sorted_spans(docs, part.filter("not hot"), length), "sorted")
     _release(spark)
-    twice = stage(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "twice")
-    alone = windows.join(twice, "hash", "left_semi").select("id", "mark", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    spans = whole.select("id", "mark", "lo", (F.col("hi") + length).alias("hi")).unionByName(alone)
+    spans = whole.select("id", "mark", "lo", (F.col("hi") + length).alias("hi")).unionByName(found)
+    hot = part.filter("hot").drop("anchor", "hot")
+    windows = twice = None
+    if not hot.isEmpty():
+        windows = stage(_windows(docs, hot, length), "windows")
+        _release(spark)
+        twice = stage(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "twice")
+        alone = windows.join(twice, "hash", "left_semi").select("id", "mark", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+        spans = spans.unionByName(alone)
     out = stage(_by_document(spans, "spans"), "spans")
-    unstage(windows)
-    unstage(twice)
+    for x in (found, windows, twice):
+        if x is not None:
+            unstage(x)
     _release(spark)
     return out
 
