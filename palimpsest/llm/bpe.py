@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import bound_batches
 
 #: Matches whose ids a worker remembers; the library encodes the others.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 150_000, 64
 
 
 #: Characters that the regex library's newer Unicode tables call letters or numbers, and the encoder's tables nothing yet.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches stay below this many bytes and rows, whatever the texts' lengths.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4000
 
 #: Stands for a null doc_id where a key is needed; it sorts before every other id.

@@ -26,7 +26,7 @@ LITERALS = 5
 #: Benchmark windows that a pass over the documents carries to each task; more windows take more passes.
 BLOCK = 1_000_000
 #: Words a worker remembers.
-MEMO = 400_000
+MEMO = 150_000
 
 _NUM = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?\Z")
 _UNITS = frozenset("mm cm m km in ft yd mi mile miles inch inches foot feet mg g kg lb lbs oz ton tons ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent % °c °f mph kmh watt watts volt volts byte bytes mb gb".split())
