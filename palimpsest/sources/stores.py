@@ -73,9 +73,12 @@ class TableStore:
         meta.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/key={self._name(key)}")
 
     def copy_to(self, path: str) -> None:
-        """All memories into another folder: a backup, or an export that TableStore(path) reads."""
-        for part, schema in [*((p, f"{s}, key string") for p, s in ir.SCHEMAS.items()), ("meta", "original string, updated_at double, expires_at double, key string")]:
-            self.spark.read.schema(schema).parquet(f"{self.path}/{part}").write.mode("overwrite").partitionBy("key").parquet(f"{path.rstrip('/')}/{part}")
+        """All memories, key by key, into another folder: a backup, or an export that TableStore(path) reads."""
+        meta = self.spark.read.parquet(f"{self.path}/meta").select("original", "updated_at", "expires_at")
+        other = TableStore(self.spark, path)
+        for r in meta.toLocalIterator():
+            left = None if r["expires_at"] is None else r["expires_at"] - r["updated_at"]
+            other.save(r["original"], self.load(r["original"]), r["updated_at"], left)
 
     def table(self, part: str) -> DataFrame:
         """A component of all memories, with key."""

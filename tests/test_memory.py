@@ -138,7 +138,7 @@ def test_store(spark, tmp_path):
     s.set_ttl("k/1", 12.0, None)
     assert s.ttl("k/1", 99.0) is None and s.exists("k/1", 99.0)
     s.copy_to(str(tmp_path / "copy"))
-    assert stores.TableStore(spark, str(tmp_path / "copy")).load("k_1").facts.count() == 1
+    assert stores.TableStore(spark, str(tmp_path / "copy")).load("k/1").facts.count() == 1
     assert stores.from_json(stores.as_json(m)).facts.select("object").first()[0] == "here"
     assert '"label":"Alice"' in stores.graph_json(m).first()["text"] and "Facts: 1" in stores.outline(m).first()["text"]
 
