@@ -80,6 +80,38 @@ def test_near_copies(spark, monkeypatch, chunk):
     assert label[2001] == 2000 and label[2003] == 2002 and label[None] is None and label[15] == 10
 
 
+def boundary(seed=11):
+    """Texts just above, at and below a similarity of 0.8, short and long, each in a group of its own."""
+    r = random.Random(seed)
+    rows, key = [], 0
+    for n, changes in [*[(n, "append") for n in (7, 8, 9, 10, 11, 12) for _ in range(6)], *[(84, "swap")] * 12, *[(104, "replace")] * 12]:
+        words = [f"v{r.randrange(10**6)}" for _ in range(n)]
+        other = [*words, "more"] if changes == "append" else [*words[10:], *(f"v{r.randrange(10**6)}" for _ in range(10))] if changes == "swap" else [*words[:20], "new", *words[21:60], "newer", *words[61:]]
+        rows += [(key, " ".join(words)), (key + 1, " ".join(other))]
+        key += 2
+    base = [f"v{r.randrange(10**6)}" for _ in range(200)]  # one large group, no two of which are similar
+    for _ in range(90):
+        rows.append((key, " ".join([*base[:150], *(f"v{r.randrange(10**6)}" for _ in range(30))])))
+        key += 1
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [8, 4096])
+def test_near_copies_are_those_of_the_sets(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    rows = boundary() + [(5000 + k, t) for k, (_, t) in enumerate(copies()[:-1])] + [(None, "v w x y z a b c d"), (9000, "v w x y z a b c")]
+    alike, root = near_copies.brute_force([t for _, t in rows]), list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if alike[a][b] >= 0.8 - 1e-9 and root[a] != root[b]:
+                root = [root[b] if x == root[a] else x for x in root]
+    least = {}
+    for (i, _), x in zip(rows, root):
+        least[x] = i if least.get(x) is None else least[x] if i is None else min(i, least[x])
+    got = near_copies.near_copies(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, least[x]) for (i, _), x in zip(rows, root)} and len(got) == len(rows)
+
+
 def test_prefixes_of_similar_sets_meet():
     r = np.random.default_rng(3)
     classes = r.integers(0, 9, near_copies.COUNTERS).astype(np.uint8)
