@@ -1,14 +1,17 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base expressions give seed entities. The labels that stand before them (such as `phone no:`) are lexical patterns.
-Patterns and the instances they introduce form a graph that is scored in rounds: a pattern by how many of its instances
-are known, an instance by its patterns. Good patterns then give identifiers that no base expression fits.
+Base expressions give seed entities. The labels before them (such as `phone no:`) and the words directly before and
+after them are lexical patterns. Patterns and the instances they introduce form a graph that is scored in rounds: a
+pattern by the instances known of a kind and those that speak against it, which are known of other kinds or are numbers
+of no identifier's shape. Unseen instances count for neither; those of one form are taken up while they do not outnumber
+the known ones, and are then known in the next round. So good patterns give identifiers that no base expression fits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,8 +23,12 @@ from palimpsest.llm.common import bound_batches, stage, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: Distinct known instances that a pattern needs, the share of its instances that must be known, an instance's least score.
+#: Distinct known instances that a pattern needs, their least share of those and the instances against it, an instance's least score.
 SUPPORT, CONFIDENCE, SCORE = 3, 0.8, 0.8
+#: The kind of what is a number and no identifier.
+OTHER = -1
+#: Digits of a phone number at least, where no base expression says that it is one.
+PHONE_DIGITS = 7
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,6 +47,10 @@ _LOOSE = {
 }
 _LABEL = re.compile(r"([^\W\d_]{2,20})(?:[ ]([^\W\d_]{1,20}))?[ ]?([:=#])[ \"']{0,3}\Z")
 
+_BEFORE = re.compile(r"(?<![^\W_])(?:([^\W\d_]{1,20})\s)?([^\W\d_]{1,20})\s([^\W\d_]{1,20})\s\Z")
+_AFTER = re.compile(r"\s([^\W\d_]{1,20})\s([^\W\d_]{1,20})(?![^\W_])(?:\s([^\W\d_]{1,20})(?![^\W_]))?")
+_NUMBER = re.compile(r"(?<![\w.+-])[0-9][\w.,:/-]*")
+
 
 def _luhn(digits: str) -> bool:
     total = 0
@@ -77,26 +88,50 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _pattern(t: str, start: int) -> str | None:
-    """The label before a span: one or two words and a mark, lower-cased."""
-    m = _LABEL.search(t[max(0, start - 50):start])
-    return " ".join(x.lower() for x in m.groups() if x) if m else None
+def _patterns(t: str, start: int, end: int) -> list[str]:
+    """Lower-cased: the label before a span, one or two words and a mark; else the two and three words before it; those after it."""
+    before, out = t[max(0, start - 65):start], []
+    if m := _LABEL.search(before[-50:]):
+        out.append(" ".join(x.lower() for x in m.groups() if x))
+    elif m := _BEFORE.search(before):
+        words = [x.lower() for x in m.groups() if x]
+        out += [" ".join(words[-k:]) + " _" for k in range(2, len(words) + 1)]
+    if m := _AFTER.match(t[end:end + 65]):
+        words = [x.lower() for x in m.groups() if x]
+        out += ["_ " + " ".join(words[:k]) for k in range(2, len(words) + 1)]
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans, where overlapping ones are one."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _meets(merged: tuple[list[int], list[int]], s: int, e: int) -> bool:
+    k = bisect_left(merged[0], e) - 1
+    return k >= 0 and merged[1][k] > s
 
 
 def mentions(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, bool]]:
-    """(kind, start, end, pattern, instance, known) of each labelled base span, and each labelled loose one beside them."""
-    out = [(k, s, e, p, t[s:e].lower(), True) for k, s, e in base if (p := _pattern(t, s))]
-    if not re.search(r"[:=#]", t):
-        return out
-    taken = sorted((s, e) for _, s, e in base)
+    """(kind, start, end, pattern, instance, known) of base spans, loose ones beside them, and other numbers, by each of their patterns."""
+    out = [(k, s, e, p, t[s:e].lower(), True) for k, s, e in base for p in _patterns(t, s, e)]
+    taken, loose = _merged([x[1:] for x in base]), []
     for k, name in enumerate(KINDS):
-        if k == 0 and "at)" not in t and "at]" not in t or k and not _DIGIT.search(t) and k != 1:
+        if k == 0 and "at)" not in t and "at]" not in t or k == 1 and ":" not in t or k > 1 and not _DIGIT.search(t):
             continue
         for m in _LOOSE[name].finditer(t):
-            s, e = m.span()
-            if (p := _pattern(t, s)) and not any(a < e and s < b for a, b in taken):
-                out.append((k, s, e, p, m[0].lower(), False))
-    return out
+            if not _meets(taken, *m.span()) and (k != 3 or sum(c.isdigit() for c in m[0]) >= PHONE_DIGITS):
+                loose.append(m.span())
+                out += [(k, *m.span(), p, m[0].lower(), False) for p in _patterns(t, *m.span())]
+    taken = _merged([x[1:] for x in base] + loose)
+    return out + [(OTHER, *m.span(), p, m[0].lower(), False) for m in _NUMBER.finditer(t) if not _meets(taken, *m.span()) for p in _patterns(t, *m.span())]
 
 
 _MENTION = "array<struct<kind:int,start:int,end:int,pattern:string,instance:string,known:boolean>>"
@@ -122,23 +157,34 @@ def scan(docs: DataFrame) -> DataFrame:
     return stage(out.withColumn("rid", F.monotonically_increasing_id()), "scan")
 
 
+def _form(kind: Column, instance: Column) -> Column:
+    """What instances of one form share: digits of cards and phones by their number, other runs of characters as one."""
+    return F.when(kind == 0, F.regexp_replace(instance, "[a-z0-9._%+-]+", "a")).when(kind == 1, F.regexp_replace(instance, "[0-9a-f]+", "a")).otherwise(F.regexp_replace(instance, "[0-9]", "9"))
+
+
 def good_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, pattern) of those that the graph (kind, pattern, instance, known) has good at the end of the rounds."""
+    """(kind, pattern, form) whose unseen instances the graph (kind, pattern, instance, known) takes up in the rounds."""
+    seeded = edges.filter("known").groupBy("kind", "pattern").agg(F.countDistinct("instance").alias("n")).filter(F.col("n") >= SUPPORT).select("pattern").distinct()
     score = F.max(F.when(F.col("known"), 1.0).otherwise(0.0)).alias("score")
-    now = stage(edges.groupBy("kind", "pattern", "instance").agg(score), "edges")
+    now = stage(edges.join(seeded, "pattern", "left_semi").groupBy("kind", "pattern", "instance").agg(score).withColumn("form", _form(F.col("kind"), F.col("instance"))), "edges")
+    # what base expressions know of a kind, and numbers that are no identifier, speak against all other kinds
+    against = stage(now.filter((F.col("kind") == OTHER) | (F.col("score") == 1)).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")), "against")
+    every = against.groupBy("pattern").agg(F.sum("n").alias("all"))
+    own = against.filter(F.col("kind") != OTHER).join(every, "pattern").select("kind", "pattern", (F.col("all") - F.col("n")).alias("against"))
+    own = stage(own, "own")
     good = None
     for _ in range(rounds):
-        good = now.groupBy("kind", "pattern").agg(
-            F.avg("score").alias("trust"), F.count(F.when(F.col("score") >= SCORE, 1)).alias("support")
-        ).filter((F.col("trust") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
+        trusted = now.filter(F.col("score") >= SCORE).groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("support")).join(own, ["kind", "pattern"]).withColumn(
+            "trust", F.col("support") / (F.col("support") + F.col("against"))).filter((F.col("trust") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
+        unseen = now.groupBy("kind", "pattern", "form").agg(F.count(F.when(F.col("score") < SCORE, 1)).alias("unseen"))
+        good = stage(unseen.join(trusted, ["kind", "pattern"]).filter(F.col("unseen") <= F.col("support")).select("kind", "pattern", "form", "trust"), "patterns")
         # an instance is wrong only if each good pattern that introduces it is
         doubt = F.when(F.count("trust") > 0, 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6))))))
-        scored = now.join(good, ["kind", "pattern"], "left").groupBy("kind", "instance").agg(doubt.alias("by_pattern"))
-        after = stage(now.join(scored, ["kind", "instance"]).select("kind", "pattern", "instance", F.greatest("score", F.coalesce("by_pattern", F.lit(0.0))).alias("score")), "edges")
-        good = stage(good.select("kind", "pattern"), "patterns")
+        scored = now.join(good, ["kind", "pattern", "form"], "left").groupBy("kind", "instance").agg(doubt.alias("by_pattern"))
+        after = stage(now.join(scored, ["kind", "instance"]).select("kind", "pattern", "instance", F.greatest("score", F.coalesce("by_pattern", F.lit(0.0))).alias("score"), "form"), "edges")
         unstage(now)
         now = after
-    return good
+    return good.select("kind", "pattern", "form")
 
 
 def _said(spans: Column) -> Column:
@@ -155,7 +201,8 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = scan(docs)
     named = rows.select("rid", F.explode("mentions").alias("m")).select("rid", "m.*")
     good = good_patterns(named, rounds)
-    more = named.filter("not known").join(good, ["kind", "pattern"], "left_semi").groupBy("rid").agg(
+    loose = named.filter(~F.col("known") & (F.col("kind") != OTHER)).withColumn("form", _form(F.col("kind"), F.col("instance")))
+    more = loose.join(good, ["kind", "pattern", "form"], "left_semi").groupBy("rid").agg(
         F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")

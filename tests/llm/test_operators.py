@@ -301,6 +301,18 @@ def test_pii_bootstraps_labels(spark):
     assert pii.find_pii(frame(spark, seeds + bad)).filter("doc_id >= 60 and spans != ''").count() == 0
 
 
+def test_pii_finds_many_unseen_forms_and_words_around(spark):
+    found = lambda rows: {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, rows)).collect()}
+    seeds = [(k, f"phone: +1 555 123 4{k:03d}") for k in range(70)]
+    out = found(seeds + [(100 + k, f"phone: (555) 123-4{k:03d}") for k in range(30)] + [(200 + k, f"phone: 030 55{k:02d} 123") for k in range(30)])
+    assert all(out[k] == "phone:7:21" for k in range(100, 130)) and all(out[k] == "phone:7:19" for k in range(200, 230))
+    words = [(k, f"please call me at +1 555 123 40{k:02d}") for k in range(9)] + [(20 + k, f"well, +49 30 1234 5{k:02d} is my number") for k in range(9)]
+    out = found(words + [(50, "call me at 555 123 4567"), (51, "Now 030 1234 567 is my number"), (52, "come by at 555 123 4567"), (53, "see 030 1234 567 in stock")])
+    assert (out[50], out[51], out[52], out[53]) == ("phone:11:23", "phone:4:16", "", "")
+    against = [(k, f"ref: {x}") for k, x in enumerate([*(f"+1 555 123 40{n:02d}" for n in range(9)), "1.2.3.4", "5.6.7.8", "17", "030 1234 567"])]
+    assert found(against)[12] == ""  # values of other kinds and shapes
+
+
 def test_empty_tables(spark, tokenizers):
     none = frame(spark, EDGES).filter("false")
     bench = spark.createDataFrame([], "item_id long, text string")
