@@ -21,6 +21,8 @@ from palimpsest.llm.common import bound_batches
 WINDOW = 8
 #: An item is found where windows cover this many of its words, or all of fewer.
 COVER = 13
+#: Words by which the hits of one item may be off each other on either side, where values have other numbers of words.
+DRIFT = 8
 #: Words of a template window that must be no placeholders.
 LITERALS = 5
 #: Benchmark windows that a pass over the documents carries to each task; more windows take more passes.
@@ -141,11 +143,13 @@ class Index:
         for p, e in self._hits(plain, 0):
             k = int(self.owner[e])
             found.setdefault(k, np.zeros(len(self.items[k][1]), bool))[self.place[e]:self.place[e] + self.size[e]] = True
-        diagonals: dict[tuple[int, int], np.ndarray] = {}
+        diagonals: dict[int, dict[int, np.ndarray]] = {}
         for p, e in self._hits(templ, 0x5555):
             k, at = int(self.owner[e]), int(self.place[e])
-            key = (k, p - at)
-            diagonals.setdefault(key, np.zeros(len(self.items[k][1]), bool))[at:at + self.size[e]] = True
+            of_item = diagonals.setdefault(k, {})
+            if p - at not in of_item:
+                of_item[p - at] = np.zeros(len(self.items[k][1]), bool)
+            of_item[p - at][at:at + self.size[e]] = True
         out = []
         done = set()
         for k, cover in found.items():
@@ -153,16 +157,29 @@ class Index:
                 out.append((self.items[k][0], "exact", c, len(cover)))
                 done.add(k)
         best: dict[int, int] = {}
-        for (k, shift), cover in diagonals.items():
-            at = np.flatnonzero(cover)
-            both = at[self.items[k][2][at] > 0]
-            if k in done or not self._consistent(self.items[k][1][both], plain[both + shift]):
-                continue
-            full = cover | found.get(k, False)
-            best[k] = max(best.get(k, 0), int(full.sum()))
+        for k, covers in diagonals.items():
+            need, exact = min(COVER, len(self.items[k][1])), found.get(k, False)
+            for shift in covers if k not in done else ():
+                near = [covers[x] for x in range(shift - DRIFT, shift + DRIFT + 1) if x in covers]
+                if int((np.logical_or.reduce(near) | exact).sum()) >= max(need, best.get(k, 0) + 1) and (place := self._joined(k, shift, covers, plain)) is not None:
+                    best[k] = max(best.get(k, 0), int(((place >= 0) | exact).sum()))
         out += [(self.items[k][0], "template", c, len(self.items[k][1])) for k, c in best.items() if c >= min(COVER, len(self.items[k][1]))]
         return sorted(out)
 
+    def _joined(self, k: int, shift: int, covers: dict[int, np.ndarray], plain: np.ndarray) -> np.ndarray | None:
+        """Places in the document of an item's words, -1 where not found: by that shift, and by near ones that keep order and slots."""
+        _, ours, kind, _ = self.items[k]
+        place = np.full(len(ours), -1, np.int64)
+        for x in sorted((x for x in range(shift - DRIFT, shift + DRIFT + 1) if x in covers), key=lambda x: abs(x - shift)):
+            after = np.where(covers[x] & (place < 0), np.arange(len(ours)) + x, place)
+            at = np.flatnonzero(after >= 0)
+            slots = at[kind[at] > 0]
+            if (np.diff(after[at]) > 0).all() and self._consistent(ours[slots], plain[after[slots]]):
+                place = after
+            elif x == shift:
+                return None
+        return place
+
     @staticmethod
     def _consistent(ours: np.ndarray, theirs: np.ndarray) -> bool:
         pairs = set(zip(ours.tolist(), theirs.tolist()))

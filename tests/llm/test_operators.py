@@ -148,6 +148,16 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == [k for k, (_, xs) in cases.items() if not xs]
 
 
+def test_decontamination_joins_neighbouring_shifts():
+    item = "buyers in 3 old shops near the sea of Berlin wanted to pay 40 coins for a very small blue lamp"
+    index, words = decontam.Index([(1, item)]), decontam.Words()
+    changed = item.replace("3 old", "5 old").replace("Berlin", "New York").replace("40", "70")
+    assert [x[:2] for x in index.find(words, "so " + changed + " today")] == [(1, "template")]
+    assert index.find(words, changed.replace("70", "5")) == []  # two values became one
+    back = changed[changed.index("York"):] + " and " + changed[:changed.index("New")]
+    assert index.find(words, back) == []  # the other way round
+
+
 def test_decontamination_finds_all_whole_items(spark, real, monkeypatch):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     tidy = lambda t: " ".join((t or "").lower().split())
