@@ -112,6 +112,16 @@ def test_near_copies_are_those_of_the_sets(spark, monkeypatch, chunk):
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, least[x]) for (i, _), x in zip(rows, root)} and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("similarity, linked", [(0.95, set()), (0.75, {1}), (0.5, {1, 2})])
+def test_near_copies_of_other_similarities(spark, similarity, linked):
+    words = [f"v{k}" for k in range(104)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:88])), (2, " ".join([*words[:78], *(f"y{k}" for k in range(26))]))]
+    alike = near_copies.brute_force([t for _, t in rows])
+    assert alike[0][1] == 0.84 and 0.5 < alike[0][2] < 0.6 and alike[1][2] < 0.75
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(frame(spark, rows), similarity=similarity).collect()}
+    assert {k for k in (1, 2) if got[k] == 0} == linked
+
+
 def test_prefixes_of_similar_sets_meet():
     r = np.random.default_rng(3)
     classes = r.integers(0, 9, near_copies.COUNTERS).astype(np.uint8)
