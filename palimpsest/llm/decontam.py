@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become templates: numbers, names and units turn into typed placeholders. Windows of template words are looked up
+Words become templates: numbers, also spelled or with a unit attached, names and units turn into typed placeholders. Windows of template words are looked up
 by hash among the benchmark's, and so are windows of the words as they are. Hits are aligned with their item; slots
 must be consistent: wherever the item repeats a value, the document repeats one, and different values stay different.
 """
@@ -23,8 +23,8 @@ WINDOW = 8
 COVER = 13
 #: Words by which the hits of one item may be off each other on either side, where values have other numbers of words.
 DRIFT = 8
-#: Words of a template window that must be no placeholders.
-LITERALS = 5
+#: Words of a template window that must be no placeholders: without any, it would fit every row of numbers.
+LITERALS = 1
 #: Benchmark windows that a pass over the documents carries to each task; more windows take more passes.
 BLOCK = 1_000_000
 #: Words a worker remembers.
@@ -32,6 +32,11 @@ MEMO = 150_000
 
 _NUM = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?\Z")
 _UNITS = frozenset("mm cm m km in ft yd mi mile miles inch inches foot feet mg g kg lb lbs oz ton tons ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent % °c °f mph kmh watt watts volt volts byte bytes mb gb".split())
+_SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+_ATTACHED = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*-?(?P<unit>[a-z°]+)\Z")
+#: Words that begin sentences and are no names, and those that follow a name which does.
+_STARTERS = frozenset("a an the if when while what which who whose how why where is are was were do does did can could will would should this that these those there it he she they we you i in on at by for from to of with and but or so then as after before each every all some many most no not one our my your his her its their let find given suppose assume now first next finally also however".split())
+_VERB = re.compile(r"(?:has|had|is|was|can|will|and|got|went|made|bought|sold|ate|gave|took|[a-z]+(?:[^su]s|ed))\Z")
 _TRIM = re.compile(r"\A[^\w+\-$€£]+|[^\w%]+\Z")
 _NONE, _WORD, _NUMBER, _UNIT, _NAME = range(5)
 _SLOT = np.array([0, 0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -49,17 +54,20 @@ class Words(dict):
         self.plain = np.zeros(room, np.uint64)
         self.kind = np.zeros(room, np.uint8)
         self.ends = np.zeros(room, bool)
+        self.starter = np.zeros(room, bool)
+        self.verb = np.zeros(room, bool)
 
     def __missing__(self, raw: str) -> int:
         k = len(self)
         if k == len(self.plain):
-            for name in ("plain", "kind", "ends"):
+            for name in ("plain", "kind", "ends", "starter", "verb"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         core = _TRIM.sub("", raw)
         low = core.lower()
         self.plain[k] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7) | 1 if core else 0
-        self.kind[k] = _NONE if not core else _NUMBER if _NUM.match(core) else _UNIT if low in _UNITS else _NAME if core[0].isupper() and core.isalpha() and not core.isupper() else _WORD
+        self.kind[k] = _NONE if not core else _NUMBER if _NUM.match(core) or all(x in _SPELLED for x in low.split("-")) or (m := _ATTACHED.match(low)) and (m["unit"] in _UNITS or m["unit"] in ("st", "nd", "rd", "th")) else _UNIT if low in _UNITS else _NAME if core[0].isupper() and core.isalpha() and not core.isupper() else _WORD
+        self.starter[k], self.verb[k] = low in _STARTERS, bool(_VERB.match(core))
         self.ends[k] = raw[-1] in ".!?:" or raw.endswith(('."', ".)", '!"', '?"'))
         self[raw] = k
         return k
@@ -77,7 +85,12 @@ class Words(dict):
         plain, kind = self.plain[at], self.kind[at].copy()
         number = np.r_[False, kind[:-1] == _NUMBER] if len(kind) else np.zeros(0, bool)
         kind[(kind == _UNIT) & ~number] = _WORD
-        kind[(kind == _NAME) & start] = _WORD
+        # a name at the start of a sentence is one elsewhere in the text, or is followed by a name or a verb
+        first = np.flatnonzero((kind == _NAME) & start)
+        if len(first):
+            after = np.minimum(first + 1, len(kind) - 1)
+            named = (first + 1 < len(kind)) & ((kind[after] == _NAME) & ~start[after] | self.verb[at[after]]) | np.isin(plain[first], plain[(kind == _NAME) & ~start])
+            kind[first[~named | self.starter[at[first]]]] = _WORD
         kind[kind == _WORD] = 0
         return plain, kind, np.where(kind > 0, _SLOT[kind], plain)
 

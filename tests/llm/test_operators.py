@@ -158,6 +158,15 @@ def test_decontamination_joins_neighbouring_shifts():
     assert index.find(words, back) == []  # the other way round
 
 
+def test_decontamination_indexes_every_slotted_window():
+    items = ["What is 17 times 23?", "Convert 5 miles to 8 km", "Mix three cups and 5kg of it on the 12th", "Tom sells apples near the old town"]
+    index, words = decontam.Index(list(enumerate(items))), decontam.Words()
+    said = lambda t: [x[:2] for x in index.find(words, t)]
+    assert said("We ask: What is 41 times 9?") == [(0, "template")] and said("Convert 6 miles to 9 km now") == [(1, "template")]
+    assert said("Mix seven cups and 9kg of it on the 3rd") == [(2, "template")] and said("Carla sells apples near the old town") == [(3, "template")]
+    assert said("What is 41 plus 9?") == said("1 2 3 4 5 6 7 8 9") == []
+
+
 def test_decontamination_finds_all_whole_items(spark, real, monkeypatch):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     tidy = lambda t: " ".join((t or "").lower().split())
