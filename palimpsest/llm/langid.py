@@ -24,6 +24,8 @@ SAMPLE = 4000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 EPOCHS = 2
 UNKNOWN = "und"
+#: The calibrated probability below which a filter takes a text to be in none of the languages.
+LEAST = 0.4
 
 
 @functools.cache
@@ -176,13 +178,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose language the model knows, with at least that probability; all columns stay."""
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The rows of docs that have a letter and whose likeliest language has at least that probability; all columns stay.
+
+    Where no language could be learned, rows with a letter stay.
+    """
     bound_batches(docs.sparkSession)
 
+    def known(text: str | None) -> bool:
+        said, p = model.predict(text)
+        return said != UNKNOWN and p >= least or not model.langs and counts(text or "") is not None
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            said = map(model.predict, b.column("text").to_pylist())
-            yield b.filter(pa.array([y != UNKNOWN and p >= least for y, p in said], pa.bool_()))
+            yield b.filter(pa.array([known(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

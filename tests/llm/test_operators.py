@@ -293,13 +293,21 @@ def test_language_id(spark):
     assert (again.weights == model.weights).all() and again.temperature == model.temperature
     edge = {r["doc_id"]: (r["lang_pred"], r["held_out"]) for r in langid.identify(frame(spark, EDGES + [(None, "the")]), model).collect()}
     assert {edge[k][0] for k in (1, 2, 3, 18)} == {"und"} and edge[17][0] in model.langs and edge[None] == (edge[None][0], False)
-    kept = {r["doc_id"] for r in langid.keep_known(frame(spark, EDGES), model).collect()}
+    kept = {r["doc_id"] for r in langid.keep_known(frame(spark, EDGES), model, 0.0).collect()}
     assert kept == {i for i, _ in EDGES} - {1, 2, 3, 18}
 
 
+    clear = next(r["text"] for r in docs.filter("lang = 'en' and n_chars > 2000").limit(1).collect())
+    said = [(1, clear), (2, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6"), (3, "123"), (4, None)]
+    least = max(langid.LEAST, model.predict(said[1][1])[1] + 0.01)
+    assert {r["doc_id"] for r in langid.keep_known(frame(spark, said), model, least).collect()} == {1}
+
+
 def test_language_id_without_labels(spark):
     docs = frame(spark, EDGES).filter("false")
     model = langid.train(docs)
+    kept = {r["doc_id"] for r in langid.keep_known(frame(spark, EDGES), model).collect()}
+    assert kept == {i for i, t in EDGES if any(c.isalpha() for c in t or "")}
     assert model.langs == [] and langid.identify(frame(spark, EDGES), model).filter("lang_pred != 'und'").count() == 0
 
 
