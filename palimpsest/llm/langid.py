@@ -1,8 +1,9 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Weights are learned by follow-the-regularised-leader with elastic-net penalties on a bounded sample; document
-frequencies are counted over all rows that may be learned from. A temperature, fitted on a part of the sample that the
-weights never saw, makes the probabilities honest.
+frequencies are counted over all rows that may be learned from. There is no bias: a text of which no n-gram was learned is
+as likely in any language. A temperature, fitted on a part of the sample that the weights never saw, makes the
+probabilities honest; its targets fall short of 1 by what a sample of that size cannot tell.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 EPOCHS = 2
 UNKNOWN = "und"
 #: The calibrated probability below which a filter takes a text to be in none of the languages.
-LEAST = 0.4
+LEAST = 0.35
 
 
 @functools.cache
@@ -69,7 +70,6 @@ class Model:
     def __init__(self, langs: list[str], idf: np.ndarray):
         self.langs, self.idf = langs, idf.astype(np.float32)
         self.weights = np.zeros((len(langs), BUCKETS), np.float32)
-        self.bias = np.zeros(len(langs), np.float32)
         self.temperature = 1.0
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -77,20 +77,19 @@ class Model:
         return x / max(float(np.sqrt(x @ x)), 1e-12)
 
     def logits(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return self.weights[:, at] @ self.vector(at, n) + self.bias
+        return self.weights[:, at] @ self.vector(at, n)
 
     def fit(self, rows: list[tuple[int, np.ndarray, np.ndarray]], held: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         """rows: (language, buckets, counts) in the order they are learned in. held: those for the temperature."""
-        size = (len(self.langs), BUCKETS + 1)
+        size = (len(self.langs), BUCKETS)
         z, n2 = np.zeros(size), np.zeros(size)
 
         def weights(z: np.ndarray, n2: np.ndarray) -> np.ndarray:
             return -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((BETA + np.sqrt(n2)) / ALPHA + L2)
 
         for _ in range(EPOCHS):
-            for y, at, n in rows:
-                cols = np.r_[at, BUCKETS]
-                x = np.r_[self.vector(at, n), 1.0]
+            for y, cols, n in rows:
+                x = self.vector(cols, n).astype(np.float64)
                 w = weights(z[:, cols], n2[:, cols])
                 p = _softmax(w @ x)
                 p[y] -= 1
@@ -98,11 +97,12 @@ class Model:
                 sigma = (np.sqrt(n2[:, cols] + g * g) - np.sqrt(n2[:, cols])) / ALPHA
                 z[:, cols] += g - sigma * w
                 n2[:, cols] += g * g
-        w = weights(z, n2)
-        self.weights, self.bias = np.ascontiguousarray(w[:, :-1], np.float32), w[:, -1].astype(np.float32)
+        self.weights = weights(z, n2).astype(np.float32)
         if held:
             said, truth = np.array([self.logits(a, n) for _, a, n in held]), np.array([y for y, _, _ in held])
-            loss = lambda t: -np.mean(np.log(np.maximum(_softmax(said / t)[np.arange(len(truth)), truth], 1e-12)))
+            target = np.full(said.shape, 1 / (len(held) + 2) / max(1, len(self.langs) - 1))
+            target[np.arange(len(truth)), truth] = 1 - 1 / (len(held) + 2)
+            loss = lambda t: -np.mean((target * np.log(np.maximum(_softmax(said / t), 1e-12))).sum(axis=1))
             self.temperature = float(min(np.geomspace(0.02, 5, 120), key=loss))
 
     def predict(self, text: str | None) -> tuple[str, float]:
