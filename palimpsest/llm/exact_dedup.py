@@ -14,14 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage
+from palimpsest.llm.common import HEAVY, key_of, parted, stage, unstage
 
 #: Digests in a shard on average: a shard's slots take some 5 MB.
 SHARD_DIGESTS = 100_000
 #: Bits of a level for each digest that reaches it.
 GAMMA = 2.0
-#: A digest with over 1/HEAVY of all rows is heavy; fewer than HEAVY digests can be, which bounds what is broadcast.
-HEAVY = 1000
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _WINNER = "struct<absent:boolean,doc_id:bigint,rid:bigint>"
@@ -161,7 +159,7 @@ def probe_history(groups: DataFrame, history: DataFrame, shards: int) -> DataFra
 
 
 def _winners(rows: DataFrame) -> DataFrame:
-    """(digest, group_size, keep_id, keep_rid) of all rows.
+    """Staged (digest, group_size, keep_id, keep_rid) of all rows.
 
     The lower half of the doc_id range is the history, the rest one new batch: a member of the history can only lose
     to it, as the history's ids are smaller.
@@ -173,10 +171,14 @@ def _winners(rows: DataFrame) -> DataFrame:
     past = stage(grouped(rows.filter(old)), "past")
     history = build_history(past, shards)
     probed = stage(probe_history(grouped(rows.filter(~old)), history, shards), "probed")
+    unstage(history)
     again = probed.filter("known").select("digest", F.col("n").alias("more"))
-    return past.join(again, "digest", "left").select(
+    out = stage(past.join(again, "digest", "left").select(
         "digest", (F.col("n") + F.coalesce("more", F.lit(0))).alias("group_size"), "keep_id", "keep_rid"
-    ).unionByName(probed.filter("not known").select("digest", F.col("n").alias("group_size"), "keep_id", "keep_rid"))
+    ).unionByName(probed.filter("not known").select("digest", F.col("n").alias("group_size"), "keep_id", "keep_rid")), "winners")
+    unstage(past)
+    unstage(probed)
+    return out
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -187,7 +189,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     rows = digests(docs)
     n = rows.count()
-    wins = stage(_winners(rows), "winners")
+    wins = _winners(rows)
     heavy = F.broadcast(wins.filter(F.col("group_size") > max(1, n // HEAVY)).withColumn("heavy", F.lit(True)))
     first = rows.join(heavy, "digest", "left")
     light = first.filter("heavy is null").select("doc_id", "digest", "rid").join(
@@ -200,17 +202,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def first_of_equals(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns stay.
 
-    The small decisions are joined on id and digest; repeated rows of one id and text leave one of them.
+    Only rows whose id may be that of a dropped one are joined with the decisions, on id and digest. Repeated rows of
+    one id and text leave one of them.
     """
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), _SPACE, " ")
-    said = exact_dedup(docs).filter("kept or group_size > 1").groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")).filter("not __kept or __n > 1")
-    odd = said.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "__kept", "__n")
-    own = docs.withColumn("__own", F.sha2(text.cast("binary"), 256))
-    found = own.join(odd, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left")
-    once = found.filter("__kept is null").select(*docs.columns)
-    twice = found.filter("__kept").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
-    return once.unionByName(twice)
+    text = F.regexp_replace(F.coalesce(F.col("row.text"), F.lit("")), _SPACE, " ")
+    many = exact_dedup(docs).filter("group_size > 1").groupBy(key_of("doc_id").alias("key"), F.col("text_sha256").alias("sha"))
+    said = stage(many.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1").drop("n"), "said")
+    apart, rest = parted(docs, said.select("key"))
+    rest = rest.withColumn("sha", F.sha2(text.cast("binary"), 256))
+    out = apart.unionByName(rest.join(said, ["key", "sha"], "left_anti").select("row.*"))
+    if not (repeated := said.filter("kept")).isEmpty():
+        out = out.unionByName(rest.join(repeated, ["key", "sha"]).dropDuplicates(["key", "sha"]).select("row.*"))
+    return out
 
 
 def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
