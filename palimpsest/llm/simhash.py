@@ -194,7 +194,9 @@ def components(edges: DataFrame) -> DataFrame:
         now, was, before = after, before, size(after)
         if was == before:
             break
-    return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    out._staged_at = now._staged_at
+    return out
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -12,18 +12,17 @@ which any number of tasks can share, and so do those of texts that are no UTF-8.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import induced_sort
-from palimpsest.llm.common import bound_batches, bytes_of, key_of, stage, unstage
+from palimpsest.llm.common import bound_batches, bytes_of, key_of, release, stage, unstage
 
 LENGTH = 200
 GRAM = 100
@@ -96,12 +95,6 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[
         yield start + lo, start + hi, h[where], context
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of the steps before: what nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _ids(rows: DataFrame) -> DataFrame:
     """id and mark name a row's text; rows with the same of both are the same text."""
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), bytes_of("text").alias("text")).withColumns(
@@ -125,18 +118,18 @@ def _marked(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFra
     every = stage(found, "runs")
     again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("z"), F.max("odd").alias("any_odd"))
     again = stage(again.filter("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed"), "any_odd"), "again")
-    _release(spark)
+    release(spark)
     repeated = stage(every.drop("odd").join(again, "anchor"), "repeated")
     unstage(every)
     unstage(again)
-    _release(spark)
+    release(spark)
     own = repeated.filter("mixed").withColumn("name", F.xxhash64("id", "mark", "lo"))
     mixed = stage(own.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least")), "contexts")
     hot = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > HOT).select("anchor", F.lit(True).alias("hot"))
     of = own.join(mixed, ["anchor", "context"]).select("id", "mark", "lo", "hi", "anchor", "any_odd", "n", (F.col("name") == F.col("least")).alias("first"))
     of = stage(of.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", "any_odd")), "mixed")
     unstage(mixed)
-    _release(spark)
+    release(spark)
     whole = repeated.filter("not mixed").select("id", "mark", "lo", "hi").unionByName(of.filter("n > 1").select("id", "mark", "lo", "hi"))
     # of equal contexts, one stands for all
     return whole, of.filter("first").select("id", "mark", "lo", "hi", "anchor", "hot")
@@ -258,13 +251,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     spark = docs.sparkSession
     whole, part = _marked(docs, length, gram)
     found = stage(_sorted_spans(docs, part.filter("not hot"), length), "sorted")
-    _release(spark)
+    release(spark)
     spans = whole.select("id", "mark", "lo", (F.col("hi") + length).alias("hi")).unionByName(found)
     hot = part.filter("hot").drop("anchor", "hot")
     windows = twice = None
     if not hot.isEmpty():
         windows = stage(_windows(docs, hot, length), "windows")
-        _release(spark)
+        release(spark)
         twice = stage(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "twice")
         alone = windows.join(twice, "hash", "left_semi").select("id", "mark", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
         spans = spans.unionByName(alone)
@@ -272,7 +265,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     for x in (found, windows, twice):
         if x is not None:
             unstage(x)
-    _release(spark)
+    release(spark)
     return out
 
 
