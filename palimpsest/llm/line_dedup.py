@@ -1,8 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A store holds runs: tables sorted by line hash with, for each hash, how many documents hold it and the largest of their
-ids. Each batch is added as a run of level 0; FANOUT runs of a level are merged into one of the next. Batches split the
-documents by id, so counts of runs add up. Lines are then merge-anti-joined with the runs.
+ids. Each batch is merge-anti-joined with the runs: the hashes that no run holds become a run of level 0, and FANOUT
+runs of a level are merged into one of the next, so that each hash is in one run. What a batch says of hashes that are
+held already is a delta, kept and merged apart. Batches split the documents by id, so counts add up.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import NULL_ID, bound_batches, bytes_of, key_of, stage, unstage
+from palimpsest.llm.common import NULL_ID, bound_batches, bytes_of, join_skewed, key_of, stage, unstage
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -35,11 +36,12 @@ def line_hash(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 class RunStore:
-    """Levelled sorted runs in the shared folder."""
+    """Levelled sorted runs and deltas in the shared folder. Each hash is in one run; deltas add to what runs say."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
+        self.deltas: list[DataFrame] = []
 
     def _write(self, entries: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -47,7 +49,7 @@ class RunStore:
         self.levels[level].append(stage(entries.sortWithinPartitions("hash"), f"run{level}"))
         if len(runs := self.levels[level]) >= self.fanout:
             self.levels[level] = []
-            self._write(self._merged(runs), level + 1)
+            self._write(reduce(DataFrame.unionByName, runs).repartition("hash"), level + 1)
             for r in runs:
                 unstage(r)
 
@@ -61,15 +63,26 @@ class RunStore:
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of lines (key, hash); its documents are in no other batch."""
-        self._write(lines.groupBy("hash").agg(F.countDistinct("key").alias("n_docs"), F.max("key").alias("last")), 0)
+        batch = stage(lines.groupBy("hash").agg(F.countDistinct("key").alias("n_docs"), F.max("key").alias("last")), "batch")
+        held = self.runs()
+        fresh = stage(self.fresh(batch), "fresh")
+        if held:
+            self.deltas.append(stage(batch.join(fresh.hint("merge"), "hash", "left_anti").sortWithinPartitions("hash"), "delta"))
+        if len(self.deltas) >= self.fanout:
+            old, self.deltas = self.deltas, [stage(self._merged(self.deltas).sortWithinPartitions("hash"), "delta")]
+            for d in old:
+                unstage(d)
+        self._write(fresh, 0)
+        unstage(fresh)
+        unstage(batch)
 
     def fresh(self, lines: DataFrame) -> DataFrame:
         """The lines whose hash no run holds, by one merge anti join for each run."""
         return reduce(lambda x, r: x.join(r.hint("merge"), "hash", "left_anti"), self.runs(), lines)
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """(hash, last) of what at least min_docs documents hold."""
-        return self._merged(self.runs()).filter(F.col("n_docs") >= min_docs).select("hash", "last")
+        """(hash, n_docs, last) of what at least min_docs documents hold."""
+        return self._merged(self.runs() + self.deltas).filter(F.col("n_docs") >= min_docs)
 
 
 def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
@@ -100,7 +113,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     store = RunStore(docs.sparkSession)
     for k in range(batches):
         store.add(lines.filter(F.col("batch") == k).select("key", "hash"))
-    gone = lines.join(store.repeated(min_docs), "hash").filter("key != last").groupBy("key").agg(F.collect_set("hash").alias("gone"))
+    held = stage(store.repeated(min_docs), "held")
+    gone = join_skewed(lines.select("key", "hash"), held, ["hash"], "n_docs").filter("key != last").groupBy("key").agg(F.collect_set("hash").alias("gone"))
 
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:

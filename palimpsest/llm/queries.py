@@ -59,7 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_byte_bpe, op9_language_id, op10_pii)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = "|".join(r.name for r in url_filter.PATTERNS)
+_PATTERNS = "|".join(f"(?:{r.pattern})" for r in url_filter.PATTERNS)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": rf"""
@@ -93,7 +93,7 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches({_LOWER.format("url")}, '(^|[^a-z0-9])({_WORDS})([^a-z0-9]|$)') THEN 'block'
+    WHEN regexp_matches({_LOWER.format("url")}, '{_PATTERNS}') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled""",
     "op5_exact_dedup": r"""

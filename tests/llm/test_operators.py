@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -65,7 +66,13 @@ def test_runs_are_merged_and_tell_fresh_lines(spark):
         store.add(make(*part))
     assert [len(x) for x in store.levels] == [1, 1]
     assert got(store.fresh(make((9, "a"), (9, "d"))), "hash") == [(bytearray(b"d"),)] or got(store.fresh(make((9, "a"), (9, "d"))), "hash") == [(b"d",)]
-    assert [(bytes(r["hash"]), r["last"]) for r in store.repeated(3).collect()] == [(b"a", 3)]
+    assert [(bytes(r["hash"]), r["n_docs"], r["last"]) for r in store.repeated(3).collect()] == [(b"a", 3, 3)]
+    held = [bytes(r["hash"]) for x in store.runs() for r in x.collect()]
+    assert sorted(held) == [b"a", b"b", b"c"]  # each hash in one run: batches are anti-joined with the runs
+    for k in range(4, 9):
+        store.add(make((k, "a"), (k, f"d{k}")))
+    assert sum(x.count() for x in store.runs()) == 8 and len(store.deltas) < 4
+    assert [(bytes(r["hash"]), r["n_docs"], r["last"]) for r in store.repeated(3).collect()] == [(b"a", 8, 8)]
 
 
 def test_simhash(spark, rows):
@@ -121,6 +128,33 @@ def test_url_filter(spark):
         ("com", "/de/1/porn", "com/de/", "block")]
 
 
+def brute_url(url, rules=url_filter.PLACES + url_filter.PATTERNS):
+    """By splitting and trying each rule, without the index."""
+    rest = (url or "").partition("://")[2]
+    host, slash, path = re.split("[?#]", rest)[0].partition("/")
+    host, path = re.sub("[A-Z]", lambda m: m[0].lower(), host), slash + path
+    fit = [r for r in rules if r.pattern is None and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    if fit:
+        best = max(fit, key=lambda r: (len(r.name), r.verdict == "block"))
+        return host, path, best.name, best.verdict
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), url or "")
+    return host, path, None, "block" if any(r.pattern and re.search(r.pattern, low) for r in rules) else "allow"
+
+
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_url_filter_of_control_characters_and_many_rules(spark, monkeypatch, block):
+    monkeypatch.setattr(url_filter, "BLOCK_RULES", block)
+    r = random.Random(block)
+    made = ["http://x.net/a.org\n/b", "http://a.org\n/b", "http://x\n.org/a", "http://example.org\x00/es/", "http://a.example.org/es/\n", "://", "a://b://c.com/de/", "HTTP://Casino.NET",
+            "http://x.net/a/sid=0123456789abcdef0", "http://www.cheap-pills.net/", "http://pillsx.net/", "http://x.net/click.php?x=1&id=9f", "http://ads-track.example.net/", "http://tracker.x.net/",
+            "http://x.net/adult-only/1", "http://x.net/?tracker=1&y", "http://my-tracker.net", "http://\r\n", "\n://\n/\n?\n"]
+    parts = ["http", "://", "/", "?", "#", ".", "-", "org", "com", "example.org", "/es/", "/en/1", "/de/", "casino", "pills", "ads-track", "tracker", "\n", "\x0b", "\u00e9", "Org", "id=", "&", "click"]
+    made += ["".join(r.choice(parts) for _ in range(r.randrange(9))) for _ in range(1500)]
+    rows = list(enumerate(made)) + [(9999, None), (9999, "http://a.org/"), (None, "http://a.com/fr/")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    same(url_filter.filter_urls(df), [(k, *brute_url(u)) for k, u in rows], "page_id", "host", "path", "rule", "verdict")
+
+
 def test_url_rules_are_filed_under_their_rarest_token():
     rules = url_filter.PLACES
     index = url_filter.Index(rules, {"org": 9, "example": 2, "es": 5, "com": 9, "fr": 1, "de": 1, "en": 3})
