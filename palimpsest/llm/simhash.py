@@ -2,9 +2,12 @@
 
 A fingerprint is 8 bytes. Two that differ in at most 3 bits share at least 5 positional bytes. The index files each
 fingerprint under groups of positional bytes, chosen so that whichever 3 positions differ, one group lies outside them;
-the more fingerprints, the larger the groups and the shorter the lists. Of two in a list, the shared positional bytes
-are tallied, pairs below 5 go, and the bits of the others are compared. Links become components by large and small
-stars.
+the more fingerprints, the larger the groups and the shorter the lists. Within a list, postings by single positional
+bytes tally what each fingerprint shares with the others; pairs below 5 go, and the bits of the others are compared.
+
+A list with over LIST fingerprints is filed anew under the groups of 5 positions around its own, a constant number of
+them. In a list of those, only 3 bytes differ, and links are looked up by changing up to 3 of their 24 bits, so its time
+and memory are in proportion to its length, which 3 bytes bound. Links become components by large and small stars.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bound_batches, bytes_of, stage, unstage
+from palimpsest.llm.common import HEAVY, bound_batches, bytes_of, stage, unstage
 
 SHINGLE = 3
 BITS = 3
 SEED = 42
 #: Positional bytes that two fingerprints within BITS bits share at least.
 SHARED = 8 - BITS
-#: A list longer than this is compared as pairs of chunks, each in a task of its own.
-CHUNK = 4096
+#: Fingerprints of a list beyond which it is filed anew, or its links are looked up.
+LIST = 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -79,16 +82,21 @@ def group_size(n: int) -> int:
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a ^ b
-    tally = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
-    out = tally >= SHARED
+    out = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1) >= SHARED
     out[out] = np.bitwise_count(x[out]) <= BITS
     return out
 
 
-def _tree(fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what links between left and right join: at most one fewer than there are fingerprints."""
-    rest = np.ones(len(fps), bool)
-    out = []
+def _tree(fps: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what links join, at most one fewer than there are fingerprints, by tallies of postings."""
+    grid = fps.view(np.uint8).reshape(-1, 8)
+    varied = [p for p in range(8) if (grid[:, p] != grid[0, p]).any()]
+    need = SHARED - (8 - len(varied))
+    postings = []
+    for p in varied:
+        order = np.argsort(grid[:, p], kind="stable")
+        postings.append((order, np.searchsorted(grid[order, p], np.arange(257)), grid[:, p]))
+    rest, out = np.ones(len(fps), bool), []
     for s in range(len(fps)):
         if not rest[s]:
             continue
@@ -96,28 +104,52 @@ def _tree(fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[in
         queue = [s]
         while queue:
             u = queue.pop()
-            at = np.flatnonzero(rest & (right if left[u] and not right[u] else left if right[u] and not left[u] else rest))
-            near = at[_close(np.ascontiguousarray(fps[at]), np.broadcast_to(fps[u], at.shape).copy())]
+            tally = np.zeros(len(fps), np.int8)
+            for order, starts, byte in postings:
+                tally[order[starts[byte[u]]:starts[byte[u] + 1]]] += 1
+            at = np.flatnonzero((tally >= need) & rest)
+            near = at[np.bitwise_count(fps[at] ^ fps[u]) <= BITS]
             rest[near] = False
             out += [(u, v) for v in near.tolist()]
             queue += near.tolist()
     return out
 
 
-def _list_edges(key: np.ndarray, fps: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within lists; equal keys are adjacent. side: 0 in both chunks, 1 and 2 in one."""
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[first, len(key)])
+def _looked_up(fps: np.ndarray) -> list[tuple[int, int]]:
+    """The same for fingerprints that differ in 3 bytes at most, each looked up with up to 3 bits changed."""
+    fps.sort()
+    differ = np.bitwise_or.reduce(fps ^ fps[0])
+    bits = [np.uint64(1 << k) for k in range(64) if int(differ) >> k & 1]
+    root = np.arange(len(fps))
+    for n in range(1, BITS + 1):
+        for mask in combinations(bits, n):
+            other = fps ^ np.bitwise_or.reduce(np.array(mask))
+            at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+            v = np.flatnonzero(fps[at] == other)
+            w = at[v]
+            while len(apart := np.flatnonzero(root[v] != root[w])):
+                x, y = root[v[apart]], root[w[apart]]
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (up := root[root] != root).any():
+                    root[up] = root[root[up]]
+    return [(r, v) for v, r in enumerate(root.tolist()) if v != r]
+
+
+def _list_edges(new: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within lists; new is true where one begins."""
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.r_[first, len(fps)])
+    of = np.repeat(np.arange(len(first)), sizes)
     a_out, b_out = [], []
     small = np.repeat(sizes <= 64, sizes)
     for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
-        at = np.flatnonzero((key[d:] == key[:-d]) & small[d:] & ((side[d:] != side[:-d]) | (side[d:] == 0)))
+        at = np.flatnonzero((of[d:] == of[:-d]) & small[d:])
         at = at[_close(fps[at], fps[at + d])]
         a_out.append(fps[at])
         b_out.append(fps[at + d])
-    for s, m in zip(first[sizes > 64], sizes[sizes > 64]):
-        own, sd = fps[s:s + m], side[s:s + m]
-        if e := _tree(own, sd != 2, sd != 1):
+    for s, m in zip(first[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
+        own = fps[s:s + m].copy()
+        if e := _tree(own) if m <= LIST else _looked_up(own):
             e = np.array(e)
             a_out.append(own[e[:, 0]])
             b_out.append(own[e[:, 1]])
@@ -125,54 +157,53 @@ def _list_edges(key: np.ndarray, fps: np.ndarray, side: np.ndarray) -> tuple[np.
     return np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
 
 
+def _mask(group: tuple[int, ...]) -> int:
+    m = sum(0xFF << (8 * p) for p in group)
+    return m - (1 << 64) if m >> 63 else m
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links that join all distinct fps within BITS bits; a list adds fewer links than it has fingerprints."""
     n = fps.count()
-    chosen = groups(group_size(n))
-    mask = lambda g: sum(0xFF << (8 * p) for p in g)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    posts = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("g"), F.col("fp").bitwiseAND(F.lit(signed(mask(g)))).alias("bytes")) for k, g in enumerate(chosen)])).alias("e")
-    ).select("fp", "e.g", "e.bytes")
-    long = stage(posts.groupBy("g", "bytes").count().filter(F.col("count") > CHUNK), "long")
-    posts = posts.withColumns({"i": F.lit(0), "side": F.lit(0)})
-    if not long.isEmpty():
-        chunks = F.ceil(F.col("count") / CHUNK).cast("int")
-        own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(
-            (F.least(own, o) * chunks + F.greatest(own, o) + 1).alias("i"),
-            F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
-        hot = posts.drop("i", "side").join(long, ["g", "bytes"]).select("fp", "g", "bytes", F.explode(pair).alias("p")).select("fp", "g", "bytes", "p.i", "p.side")
-        posts = posts.join(long, ["g", "bytes"], "left_anti").select("fp", "g", "bytes", "i", "side").unionByName(hot)
+    chosen, fives = groups(group_size(n)), groups(5)
+    first = 0 if len(chosen[0]) < 5 else 1000  # lists of 5 positions have numbers from 1000 on
+    file = [F.struct(F.lit(first + k).alias("g"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("bytes")) for k, g in enumerate(chosen)]
+    posts = fps.select("fp", F.explode(F.array(*file)).alias("e")).select("fp", "e.g", "e.bytes")
+    if not first:
+        long = stage(posts.groupBy("g", "bytes").count().filter(F.col("count") > LIST), "long")
+        around = F.create_map(*[x for k, g in enumerate(chosen) for x in (F.lit(k), F.array(*[F.lit(1000 + j) for j, f in enumerate(fives) if set(g) <= set(f)]))])
+        masks = F.create_map(*[x for j, f in enumerate(fives) for x in (F.lit(1000 + j), F.lit(_mask(f)))])
+        heavy = F.col("count") * HEAVY > n * len(chosen)
+        for some, how in ((long.filter(heavy), "broadcast"), (long.filter(~heavy), "shuffle_hash")):
+            if not some.isEmpty():
+                lists = some.select("g", "bytes").hint(how)
+                anew = posts.join(lists, ["g", "bytes"], "left_semi").select("fp", F.explode(around[F.col("g")]).alias("g")).distinct()
+                posts = posts.join(lists, ["g", "bytes"], "left_anti").unionByName(anew.withColumn("bytes", F.col("fp").bitwiseAND(masks[F.col("g")])))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _list_edges(cols[0], cols[1].view(np.uint64), cols[2])
+        def emit(g: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            a, b = _list_edges(np.r_[True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])], fp.view(np.uint64))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        rest: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for p in parts:
             if not len(p):
                 continue
-            cols = [p.column(c).to_numpy(zero_copy_only=False) for c in ("list", "fp", "side")]
-            held.append(cols)
-            if cols[0][0] == cols[0][-1] and len(held) < 64:
+            held.append([p.column(c).to_numpy(zero_copy_only=False) for c in ("g", "bytes", "fp")])
+            rows += len(p)
+            last = held[-1][0][-1], held[-1][1][-1]
+            if rows < 1 << 17 or (held[0][0][0], held[0][1][0]) == last:
                 continue
-            cols = [np.concatenate(x) for x in zip(*([rest] if rest else []), *held)]
-            held = []
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut:
-                yield emit([x[:cut] for x in cols])
-            rest = [x[cut:] for x in cols]
-        tail = ([rest] if rest else []) + held
-        if tail:
-            yield emit([np.concatenate(x) for x in zip(*tail)])
-
-    listed = posts.select("fp", "side", F.xxhash64("g", "bytes", "i").alias("list"))
-    dealt = listed.repartition("list").sortWithinPartitions("list")
-    return dealt.select("list", "fp", F.col("side").cast("int").alias("side")).mapInArrow(run, "a long, b long")
+            cols = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]))[-1]) + 1
+            yield emit(*(x[:cut] for x in cols))
+            held, rows = [[x[cut:] for x in cols]], len(cols[0]) - cut
+        if held:
+            yield emit(*(np.concatenate(x) for x in zip(*held)))
+
+    dealt = posts.repartition("g", "bytes").sortWithinPartitions("g", "bytes")
+    return dealt.select("g", "bytes", "fp").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

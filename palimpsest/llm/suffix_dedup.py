@@ -6,8 +6,9 @@ takes all windows of its anchors. A document's windows with one anchor are a run
 else cannot repeat, and a run whose whole context occurs again repeats without looking further: only the others are
 sorted. In a shard, neighbours in the order of suffixes that share LENGTH bytes are repeated windows.
 
-Anchors with over HOT different contexts would be one task's: their windows meet by 64-bit polynomial hashes instead,
-which any number of tasks can share, and so do those of texts that are no UTF-8.
+Anchors with over HOT different contexts would be one task's: their windows meet by a cryptographic digest of their
+bytes instead, which any number of tasks can share, and so do those of texts that are no UTF-8. Either way the same
+windows are found.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import induced_sort
-from palimpsest.llm.common import bound_batches, bytes_of, key_of, release, stage, unstage
+from palimpsest.llm.common import HEAVY, bound_batches, bytes_of, join_skewed, key_of, release, stage, unstage
 
 LENGTH = 200
 GRAM = 100
 #: Bytes that are hashed at once: bounds what a long document takes.
 PIECE = 1 << 20
-#: Different contexts of an anchor beyond which its windows are compared by hash.
+#: Different contexts of an anchor beyond which its windows are compared by digest.
 HOT = 10_000
 #: Bytes of a shard on average; one that is larger is sorted with what does not fit ROOM rows on disk.
 SHARD_BYTES = 1 << 21
@@ -117,18 +118,25 @@ def _marked(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFra
     found = _ids(docs).select("id", "mark", "text").mapInArrow(run, "id long, mark long, lo long, hi long, anchor long, context long, odd boolean")
     every = stage(found, "runs")
     again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("z"), F.max("odd").alias("any_odd"))
-    again = stage(again.filter("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed"), "any_odd"), "again")
+    again = stage(again.filter("n > 1").select("anchor", "n", (F.col("a") != F.col("z")).alias("mixed"), "any_odd"), "again")
     release(spark)
-    repeated = stage(every.drop("odd").join(again, "anchor"), "repeated")
+    repeated = stage(join_skewed(every.drop("odd"), again, ["anchor"], "n").drop("n"), "repeated")
     unstage(every)
     unstage(again)
     release(spark)
     own = repeated.filter("mixed").withColumn("name", F.xxhash64("id", "mark", "lo"))
-    mixed = stage(own.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least")), "contexts")
-    hot = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > HOT).select("anchor", F.lit(True).alias("hot"))
-    of = own.join(mixed, ["anchor", "context"]).select("id", "mark", "lo", "hi", "anchor", "any_odd", "n", (F.col("name") == F.col("least")).alias("first"))
-    of = stage(of.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", "any_odd")), "mixed")
-    unstage(mixed)
+    mixed = stage(own.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"), F.max("any_odd").alias("any_odd")), "contexts")
+    per = stage(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > HOT), "hot")
+    hot = F.broadcast(per.filter(F.col("contexts") * HEAVY > mixed.count()).select("anchor"))
+    warm = per.select("anchor")
+    # heavy anchors are told where their contexts stand, the others by a join
+    told = mixed.join(hot, "anchor", "left_semi").withColumn("hot", F.lit(True)).unionByName(
+        mixed.join(hot, "anchor", "left_anti").join(warm.withColumn("hot", F.lit(True)), "anchor", "left").select(*mixed.columns, F.coalesce("hot", "any_odd").alias("hot")))
+    told = stage(told.drop("any_odd"), "told")
+    of = join_skewed(own.drop("any_odd", "mixed"), told, ["anchor", "context"], "n").select("id", "mark", "lo", "hi", "anchor", "n", (F.col("name") == F.col("least")).alias("first"), "hot")
+    of = stage(of, "mixed")
+    for x in (mixed, per, told):
+        unstage(x)
     release(spark)
     whole = repeated.filter("not mixed").select("id", "mark", "lo", "hi").unionByName(of.filter("n > 1").select("id", "mark", "lo", "hi"))
     # of equal contexts, one stands for all
@@ -140,28 +148,26 @@ def _by_document(spans: DataFrame, name: str) -> DataFrame:
 
 
 def _windows(docs: DataFrame, runs_of: DataFrame, length: int) -> DataFrame:
-    """(id, mark, at, hash) of each window of the runs."""
+    """(id, mark, at, digest) of each window of the runs: BLAKE2b of its bytes, 128 bits."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blake = hashlib.blake2b
         for b in parts:
             lists = b.column("spans")
             lo, hi = (lists.values.field(k).to_numpy() for k in (0, 1))
             ends = lists.offsets.to_numpy()
             for k, (i, m, t) in enumerate(zip(b.column("id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist())):
                 a, z = lo[ends[k]:ends[k + 1]], hi[ends[k]:ends[k + 1]]
-                at = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(a, z)]))
-                text, out = np.frombuffer(t, np.uint8), np.zeros(len(at), np.uint64)
-                for start in range(0, len(text), PIECE - length + 1):
-                    own = np.flatnonzero((at >= start) & (at < start + PIECE - length + 1))
-                    if len(own):
-                        out[own] = _hash(_sums(text[start:start + PIECE]), at[own] - start, at[own] - start + length)
-                cols = (np.full(len(at), i, np.int64), np.full(len(at), m, np.int64), at.astype(np.int64), out.view(np.int64))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["id", "mark", "at", "hash"])
+                every = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(a, z)]))
+                for start in range(0, len(every), 1 << 16):
+                    at = every[start:start + (1 << 16)].astype(np.int64)
+                    out = [blake(t[x:x + length], digest_size=16).digest() for x in at.tolist()]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), x, np.int64)) for x in (i, m)), pa.array(at), pa.array(out, pa.binary())], ["id", "mark", "at", "digest"])
 
     rows = _ids(docs)
     spans = _by_document(runs_of, "spans")
     return rows.select("id", "mark", "text").join(spans, ["id", "mark"]).select("id", "mark", "text", "spans").mapInArrow(
-        run, "id long, mark long, at long, hash long")
+        run, "id long, mark long, at long, digest binary")
 
 
 def _strings(docs: DataFrame, runs_of: DataFrame, shards: int, length: int) -> DataFrame:
@@ -258,9 +264,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     if not hot.isEmpty():
         windows = stage(_windows(docs, hot, length), "windows")
         release(spark)
-        twice = stage(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "twice")
-        alone = windows.join(twice, "hash", "left_semi").select("id", "mark", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-        spans = spans.unionByName(alone)
+        twice = stage(windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+        met = join_skewed(windows, twice, ["digest"], "n").select("id", "mark", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+        spans = spans.unionByName(met)
     out = stage(_by_document(spans, "spans"), "spans")
     for x in (found, windows, twice):
         if x is not None:

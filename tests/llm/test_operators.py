@@ -87,10 +87,11 @@ def test_simhash_groups_miss_no_three_positions(size):
         assert any(not set(g) & set(gone) for g in simhash.groups(size))
 
 
-@pytest.mark.parametrize("chunk", [8, 4096])
-def test_simhash_links_all_close_fingerprints(spark, monkeypatch, chunk):
-    monkeypatch.setattr(simhash, "CHUNK", chunk)
-    r = random.Random(chunk)
+@pytest.mark.parametrize("long, size", [(8, 2), (8, 3), (70, 4), (8, 5), (4096, 2), (4096, 4)])
+def test_simhash_links_all_close_fingerprints(spark, monkeypatch, long, size):
+    monkeypatch.setattr(simhash, "LIST", long)
+    monkeypatch.setattr(simhash, "group_size", lambda n: size)
+    r = random.Random(long + size)
     fps = set()
     for _ in range(12):
         f = r.getrandbits(64)
@@ -99,6 +100,8 @@ def test_simhash_links_all_close_fingerprints(spark, monkeypatch, chunk):
             for b in r.sample(range(64), r.randrange(5)):
                 g ^= 1 << b
             fps.add(g - (1 << 64) if g >> 63 else g)
+    dense = r.getrandbits(40) << 24  # many that share 5 bytes, and few bits between them
+    fps |= {(g := dense | r.getrandbits(12) << 4) - (1 << 64) * (g >> 63) for _ in range(150)}
     df = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
     root = {row["v"]: row["root"] for row in simhash.components(simhash.links(df)).collect()}
     left, expected = set(fps), {}
