@@ -193,9 +193,10 @@ def _said(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans for each row of docs.
 
-    The counts and the hash are of the base spans alone; spans has those that good patterns added, too. A null text
+    The four counts and the hash are of the base spans alone; spans has those that good patterns added, too, and n_spans
+    counts them. A null text
     counts as empty. Added spans never overlap base spans.
     """
     rows = scan(docs)
@@ -208,7 +209,7 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return rows.select("doc_id", "base", "rid").join(more, "rid", "left").select(
         "doc_id", *map(count, range(4)), F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        _said(F.concat("base", F.coalesce("more", none))).alias("spans"))
+        _said(F.concat("base", F.coalesce("more", none))).alias("spans"), (F.size("base") + F.size(F.coalesce("more", none))).cast("long").alias("n_spans"))
 
 
 def brute_base(t: str | None) -> tuple[list[int], str]:

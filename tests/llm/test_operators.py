@@ -354,6 +354,7 @@ def test_pii_base(spark, rows):
     rows = rows + list(enumerate(cases, 1000))
     out = pii.find_pii(frame(spark, rows))
     same(out, [(i, *(x := pii.brute_base(t))[0], x[1]) for i, t in rows], "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in out.collect())
 
 
 def test_pii_bootstraps_labels(spark):
