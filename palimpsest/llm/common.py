@@ -103,8 +103,10 @@ class Sieve:
     Its size is bounded: with more keys than it has room for, more others pass, and none of the keys is lost.
     """
 
-    def __init__(self, keys: DataFrame):
-        hashed = keys.select(self.hash_of(F.col(keys.columns[0])).alias("h"))
+    def __init__(self, keys: DataFrame, hashed: bool = False):
+        """hashed: keys are hashes already, and are taken for their own hash_of."""
+        own = F.col(keys.columns[0])
+        hashed = keys.select((own if hashed else self.hash_of(own)).alias("h"))
         self.blocks, n = 1, hashed.count()
         while self.blocks << 16 < min(SIEVE_BITS, SIEVE_KEY_BITS * n):
             self.blocks *= 2

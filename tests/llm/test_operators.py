@@ -204,14 +204,38 @@ def test_decontamination_indexes_every_slotted_window():
     assert said("What is 41 plus 9?") == said("1 2 3 4 5 6 7 8 9") == []
 
 
-def test_decontamination_finds_all_whole_items(spark, real, monkeypatch):
+def test_decontamination_finds_all_whole_items(spark, real):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     tidy = lambda t: " ".join((t or "").lower().split())
     expected = {(d, i) for d, t in real for i, x in items if tidy(x) in tidy(t)}
-    for block in (1_000_000, 500):
-        monkeypatch.setattr(decontam, "BLOCK", block)
-        out = decontam.contaminated(frame(spark, real), spark.createDataFrame(items, "item_id long, text string"))
-        assert expected and {(r["doc_id"], r["item_id"]) for r in out.collect()} == expected
+    out = decontam.contaminated(frame(spark, real), spark.createDataFrame(items, "item_id long, text string"))
+    assert expected and {(r["doc_id"], r["item_id"]) for r in out.collect()} == expected
+
+
+def test_decontamination_finds_what_trying_each_item_finds(spark):
+    """The joins against one index of all items, tried on every text: exact and template hits, repeated ids and items."""
+    r = random.Random(17)
+    names, nouns, units = ["Alice", "Berta", "Carla", "Doris"], ["apples", "pears", "boxes", "books", "coins"], ["km", "miles", "kg", "dollars"]
+    make = lambda: (f"If {r.choice(names)} has {r.randrange(2, 99)} {r.choice(nouns)} and buys {r.randrange(2, 99)} {r.choice(units)} of {r.choice(nouns)} "
+                    f"then how many {r.choice(nouns)} will {r.choice(names)} have after {r.randrange(2, 30)} days")
+    items = [(k, make()) for k in range(40)] + [(7, "What is 17 times 23?"), (None, "Convert 5 miles to 8 km"), (41, None), (42, "..."), (43, make()), (43, make())]
+    filler = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(250):
+        t = r.choice(items[:40])[1]
+        for _ in range(r.randrange(4)):
+            a = r.choice(names + nouns + [str(n) for n in range(2, 99)])
+            t = t.replace(a, r.choice(names) if a in names else r.choice(nouns) if a in nouns else str(r.randrange(2, 99)))
+        texts.append((r.choice([k, 5]), " ".join(r.sample(filler, r.randrange(20))) + ". " + t + " " + " ".join(r.sample(filler, 3))))
+    texts += [(None, "What is 4 times 9?"), (900, "We ask: convert 6 miles to 9 km now"), (901, None), (902, "")] + texts[:3]
+    index, words = decontam.Index([x for x in items if x[1] is not None]), decontam.Words()
+    expected = [(i, *x) for i, t in texts for x in {*index.find(words, t)}]
+    out = decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    same(out, expected, "doc_id", "item_id", "kind", "covered", "item_words")
+    assert {x[2] for x in expected} == {"exact", "template"} and len(expected) > 200
+    bad = {(i, t) for i, t in texts if index.find(words, t)}
+    kept = decontam.clean(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted((x for x in texts if x not in bad), key=repr)
 
 
 def test_exact_dedup(spark, rows):
