@@ -146,12 +146,15 @@ class Sieve:
             out &= (own[(block << 13) + (x >> 3)] >> (x & 7).astype(np.uint8)) & 1 == 1
         return out
 
-    def column(self, key: Column) -> Column:
-        @F.arrow_udf("boolean")
-        def may(h: pa.Array) -> pa.Array:
-            return pa.array(self.may(h.to_numpy(zero_copy_only=False)))
-
-        return may(self.hash_of(key))
+    def may_hold(self, key: Column) -> Column:
+        """The same as an expression of Spark's own, of the key itself."""
+        h, own, out = self.hash_of(key), F.lit(bytearray(self.packed)), F.lit(True)
+        block = F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(self.blocks - 1)) * 8192
+        for s in (0, 16, 32):
+            x = F.shiftrightunsigned(h, s).bitwiseAND(F.lit(0xFFFF))
+            byte = F.conv(F.hex(F.substring(own, (block + F.shiftright(x, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            out &= F.getbit(byte, x.bitwiseAND(F.lit(7)).cast("int")) == 1
+        return out
 
 
 def parted(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -159,9 +162,8 @@ def parted(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> tuple[DataF
 
     Only the second few have to be joined, so the texts of the others are not shuffled. Columns of docs may have any name.
     """
-    may = Sieve(keys).column
-    marked = docs.select(F.struct("*").alias("row"), key_of(key).alias("key")).withColumn("may", may(F.col("key")))
-    return marked.filter(~F.col("may")).select("row.*"), marked.filter("may").select("row", "key")
+    may = Sieve(keys).may_hold(key_of(key))
+    return docs.filter(~may), docs.filter(may).select(F.struct("*").alias("row"), key_of(key).alias("key"))
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
