@@ -36,8 +36,8 @@ _SPELLED = frozenset("zero one two three four five six seven eight nine ten elev
 _ATTACHED = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*-?(?P<unit>[a-z°]+)\Z")
 #: Words that begin sentences and are no names, and those that follow a name which does.
 _STARTERS = frozenset("a an the if when while what which who whose how why where is are was were do does did can could will would should this that these those there it he she they we you i in on at by for from to of with and but or so then as after before each every all some many most no not one our my your his her its their let find given suppose assume now first next finally also however".split())
-_VERB = re.compile(r"(?:has|had|is|was|can|will|and|got|went|made|bought|sold|ate|gave|took|[a-z]+(?:[^su]s|ed))\Z")
-_VERB_ENDS = frozenset("sdntelyk")
+_VERBS = frozenset("has had is was can will and got went made bought sold ate gave took".split())
+_VERB = re.compile(r"[a-z]+(?:[^su]s|ed)\Z")
 #: What ends words and is no part of them; the rest of it is trimmed by _TRIM.
 _CLOSING = ".,;:!?)\"'"
 _TRIM = re.compile(r"\A[^\w+\-$€£]+|[^\w%]+\Z")
@@ -57,7 +57,8 @@ class Words(dict):
     def _clear(self) -> None:
         self.clear()
         self.plain, self.flag = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
-        self.new: list[tuple[int, int]] = []
+        self.new_plain: list[int] = []
+        self.new_flag: list[int] = []
 
     def __missing__(self, raw: str) -> int:
         core = raw.rstrip(_CLOSING)
@@ -74,26 +75,28 @@ class Words(dict):
         else:
             kind = _NAME if core[0].isupper() and core.isalpha() and not core.isupper() else _WORD
         ends = raw is not core and (raw[-1] in ".!?:" or raw.endswith(('."', ".)", '!"', '?"')))
-        flag = kind | ends << 3 | (low in _STARTERS) << 4 | bool(core[-1:] in _VERB_ENDS and _VERB.match(core)) << 5
-        self.new.append((xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7) | 1 if core else 0, flag))
+        verb = core in _VERBS or core[-1:] in ("s", "d") and _VERB.match(core) is not None
+        self.new_flag.append(kind | ends << 3 | (low in _STARTERS) << 4 | verb << 5)
+        self.new_plain.append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7) | 1 if core else 0)
         self[raw] = k = len(self)
         return k
 
     def _known(self) -> None:
         """Put what is new into the arrays."""
-        n = len(self) - len(self.new)
+        n = len(self) - len(self.new_plain)
         while len(self) > len(self.plain):
             self.plain, self.flag = (np.concatenate([x, np.zeros_like(x)]) for x in (self.plain, self.flag))
-        self.plain[n:len(self)] = [x for x, _ in self.new]
-        self.flag[n:len(self)] = [x for _, x in self.new]
-        self.new.clear()
+        self.plain[n:len(self)], self.flag[n:len(self)] = self.new_plain, self.new_flag
+        self.new_plain.clear()
+        self.new_flag.clear()
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word with a core: its hash, the kind of slot it is (0: none), its template's hash."""
         if len(self) > MEMO:
             self._clear()
-        at = np.array([self[w] for w in text.split()], dtype=np.int64)
-        if self.new:
+        said = text.split()
+        at = np.fromiter(map(self.__getitem__, said), np.int64, len(said))
+        if self.new_plain:
             self._known()
         if not len(at):
             return self.plain[:0], self.flag[:0], self.plain[:0]
@@ -255,10 +258,12 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ids, marks, hashes = [], [], []
             for i, m, t in zip(*(b.column(c).to_pylist() for c in ("id", "mark", "text"))):
                 plain, kind, templ = words.read(t)
+                slots = np.r_[0, np.cumsum(kind > 0)]
                 for n in lengths:
                     h = _windows(plain, n)
-                    if len(h) and (kind > 0).any():
-                        h = np.concatenate([h, _windows(templ, n) ^ _TEMPLATE])
+                    slotted = slots[n:] > slots[:-n] if len(h) else slots[:0] > 0
+                    if slotted.any():
+                        h = np.concatenate([h, _windows(templ, n)[slotted] ^ _TEMPLATE])
                     if len(h := np.unique(h[sieve.may(h)])):
                         ids.append(np.full(len(h), i))
                         marks.append(np.full(len(h), m))
@@ -272,7 +277,7 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = stage(shared.groupBy("id", "mark", "item").agg(F.countDistinct("hash").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("id", "mark", "item"), "pairs")
     many = stage(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).join(items, "item"), "asked")
     asked = stage(join_skewed(pairs, many, ["item"], "n").groupBy("id", "mark").agg(F.collect_list(F.struct("item_id", "text")).alias("items")), "candidates")
-    may = Sieve(asked.select("mark")).column
+    may = Sieve(asked.select("mark")).may_hold
     some = rows.filter(may(F.col("mark"))).join(asked, ["id", "mark"]).select("id", "mark", "text", "items")
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
