@@ -25,15 +25,18 @@ def detect(text: Column, default: str = "en") -> Column:
     """
     solid = F.length(F.regexp_replace(text, r"\s", ""))
     others = list(SCRIPT_LANGUAGES)
+    # scripts are counted only where one of them occurs, and markers only among the words that are markers
+    any_script = text.rlike("[" + "".join("\\x{%x}-\\x{%x}" % SCRIPT_RANGES[s] for s in others) + "]")
     best = F.array_max(F.array(*[F.struct((script_count(text, s) / solid).alias("share"), F.lit(-k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(others)]))
     kana = script_count(text, "hiragana") + script_count(text, "katakana")
     lang = F.create_map(*[F.lit(x) for s in others for x in (s, SCRIPT_LANGUAGES[s])])
     by_script = F.when((best["s"] == "cjk") & (kana > F.length(text) * 0.1), "ja").otherwise(F.element_at(lang, best["s"]))
-    ws = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
-    hits = F.array_max(F.array(*[F.struct(F.size(F.array_intersect(ws, literals(m))).alias("n"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, (c, m) in enumerate(LANGUAGE_MARKERS.items())]))
+    ws = F.array_intersect(F.split(F.lower(text), r"\s+"), literals(sorted({w for m in LANGUAGE_MARKERS.values() for w in m})))
+    hits = F.array_max(F.transform(F.array(ws), lambda own: F.array(*[F.struct(F.size(F.array_intersect(own, literals(m))).alias("n"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, (c, m) in enumerate(LANGUAGE_MARKERS.items())]))[0])
     out = lambda c, p: F.struct(c.alias("language"), p.cast("double").alias("confidence"))
-    return (F.when(text.isNull() | (solid == 0), out(F.lit(default), F.lit(0.0))).when(best["share"] >= 0.3, out(by_script, best["share"]))
-            .when(hits["n"] == 0, out(F.lit(default), F.lit(0.3))).otherwise(out(hits["c"], F.least(F.lit(1.0), hits["n"] / F.lit(10.0) * 2))))
+    by_words = F.transform(F.array(hits), lambda h: F.when(h["n"] == 0, out(F.lit(default), F.lit(0.3))).otherwise(out(h["c"], F.least(F.lit(1.0), h["n"] / F.lit(10.0) * 2))))[0]
+    scripted = F.when(any_script, F.when(best["share"] >= 0.3, out(by_script, best["share"])))
+    return F.when(text.isNull() | ~text.rlike(r"\S"), out(F.lit(default), F.lit(0.0))).otherwise(F.coalesce(scripted, by_words))
 
 
 def from_code(code: Column) -> Column:
