@@ -358,7 +358,16 @@ def agg_complexity(spark, d):
     return passes.complexity(base.talked(spark, d)).select("conv_id", F.round("complexity", 9).alias("complexity"), "budget")
 
 
-@query()
+@query(f"""{P.replace("WITH ", "WITH RECURSIVE ", 1)}, i AS (SELECT conv_id, lower(name) AS n, arg_max(ent_id, ord) AS e FROM pents GROUP BY 1, 2),
+g AS (SELECT f.conv_id, least(a.e, b.e) AS a, greatest(a.e, b.e) AS b, count(*) AS w FROM pfacts f JOIN i a ON a.conv_id = f.conv_id AND a.n = lower(f.subject) JOIN i b ON b.conv_id = f.conv_id AND b.n = lower(f.object) WHERE a.e <> b.e GROUP BY ALL),
+linkd AS (SELECT conv_id, a AS src, b AS dst, w FROM g UNION ALL SELECT conv_id, b, a, w FROM g),
+share AS (SELECT conv_id, src, dst, w / sum(w) OVER (PARTITION BY conv_id, src) AS p FROM linkd),
+nodes AS (SELECT conv_id, ent_id AS node, count(*) OVER (PARTITION BY conv_id) AS n, (conv_id, ent_id) NOT IN (SELECT (conv_id, src) FROM linkd) AS loose FROM (SELECT DISTINCT conv_id, ent_id FROM pents)),
+ranks AS (SELECT 0 AS k, conv_id, node, 1.0::DOUBLE / n AS r FROM nodes
+  UNION ALL SELECT m.k + 1, n.conv_id, n.node, 0.85::DOUBLE * (coalesce(s.got, 0) + m.lost / n.n) + 0.15::DOUBLE / n.n FROM nodes n
+  JOIN (SELECT k, conv_id, sum(CASE WHEN loose THEN r ELSE 0 END) AS lost FROM ranks JOIN nodes USING (conv_id, node) WHERE k < 30 GROUP BY k, conv_id) m ON m.conv_id = n.conv_id
+  LEFT JOIN (SELECT r.conv_id, h.dst AS node, sum(r.r * h.p) AS got FROM ranks r JOIN share h ON h.conv_id = r.conv_id AND h.src = r.node GROUP BY 1, 2) s ON s.conv_id = n.conv_id AND s.node = n.node)
+SELECT conv_id, node, round(r, 6) AS centrality FROM ranks WHERE k = 30""")
 def agg_pagerank(spark, d):
     m = base.people(spark, d)
     return graph.centrality(m.facts, m.entities, 30).select("conv_id", "node", F.round("centrality", 6).alias("centrality"))
@@ -516,7 +525,14 @@ def gen_structured(spark, d):
     return generation.structured(base.people(spark, d))
 
 
-@query()
+@query(f"""{P}, e AS (SELECT conv_id, name, row_number() OVER (PARTITION BY conv_id ORDER BY importance DESC, ord) AS k FROM pents),
+f AS (SELECT conv_id, importance, ord, CASE WHEN negated THEN subject || ' does not ' || predicate || ' ' || object || '.' WHEN fact_type = 'attribute' THEN subject || ' has ' || predicate || ' of ' || object || '.' ELSE subject || ' ' || predicate || ' ' || object || '.' END AS said FROM pfacts),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY importance DESC, ord) AS k FROM f WHERE importance >= 0.4 AND importance < 0.7),
+names AS (SELECT conv_id, list(name ORDER BY k) AS l FROM e WHERE k <= 5 GROUP BY conv_id),
+l AS (SELECT conv_id, 0 AS s, 'This conversation involves ' || CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[-1] END || '.' AS line FROM names
+  UNION ALL SELECT conv_id, 1, string_agg(said, ' ' ORDER BY importance DESC, ord) FROM f WHERE importance >= 0.7 GROUP BY conv_id
+  UNION ALL SELECT conv_id, 2, 'Additionally, ' || string_agg(said, ' ' ORDER BY k) FROM m WHERE k <= 10 GROUP BY conv_id)
+SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY s) AS text FROM l GROUP BY conv_id""")
 def gen_narrative(spark, d):
     return generation.narrative(base.people(spark, d))
 
@@ -668,7 +684,11 @@ def fn_qa_pairs(spark, d):
     return evaluation.qa_pairs(base.talk(spark, d))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS x, list_reverse(string_split(lower(p_name), ' ')) AS y FROM part),
+lcs AS (SELECT p_partkey, 0 AS i, list_transform(range(len(y) + 1), lambda j: 0::BIGINT) AS own FROM p
+  UNION ALL SELECT p.p_partkey, i + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [j]), lambda acc, j: list_append(acc, CASE WHEN x[i + 1] = y[j[1]] THEN own[j[1]] + 1 ELSE greatest(own[j[1] + 1], acc[j[1]]) END), [0::BIGINT])
+  FROM lcs JOIN p USING (p_partkey) WHERE i < len(x))
+SELECT p.p_partkey, 2.0::DOUBLE * own[-1] / (len(x) + len(y)) AS rouge_l FROM lcs JOIN p USING (p_partkey) WHERE i = len(x)""")
 def fn_rouge(spark, d):
     p = base.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("reference"), F.reverse(F.split("p_name", " ")).alias("r"))
     return evaluation.rouge_l(p.withColumn("candidate", F.array_join("r", " "))).select("p_partkey", "rouge_l")
