@@ -10,8 +10,8 @@ import zlib
 
 import pytest
 
-from palimpsest.llm import bpe, decontam, exact_dedup, langid, line_dedup, pii, sharding, simhash, suffix_dedup, url_filter
-from palimpsest.llm.common import NULL_ID
+from palimpsest.llm import bpe, common, decontam, exact_dedup, langid, line_dedup, near_copies, pii, sharding, simhash, suffix_dedup, url_filter
+from palimpsest.llm.common import NULL_ID, stage, without
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{k % 977}x{k % 31}" for k in range(30_000))
@@ -402,6 +402,39 @@ def test_pii_finds_many_unseen_forms_and_words_around(spark):
     assert found(against)[12] == ""  # values of other kinds and shapes
 
 
+def test_clashing_columns(spark, tokenizers):
+    """Other columns of the tables may have any name that the operators use themselves."""
+    names = "row key h may mark said id gone hash sha kept n lo hi anchor context digest fp form short shingle m x y list root item need items held_out order rid base mentions size law shard slot __gone __own __kept".split()
+    rows = [r for r in EDGES if r[0] not in (8, 9)] + [(100, ITEMS[1][1]), (101, "call +1 555 123 4567"), (102, ITEMS[1][1])]
+    clash = spark.createDataFrame([(i, t, "en", *(f"{n}{i}" for n in names)) for i, t in rows], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    plain = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(*x, "a", "b") for x in ITEMS], "item_id long, text string, item string, hash string")
+    pages = spark.createDataFrame([(1, "http://a.org/", "h", "r")], "page_id long, url string, host string, rule string")
+    model = langid.train(clash)
+    for f in (line_dedup.line_dedup, simhash.near_dedup, exact_dedup.exact_dedup, suffix_dedup.suffix_dedup, sharding.shard, lambda d: bpe.digests(d, *tokenizers[:2]), pii.find_pii,
+              lambda d: decontam.contaminated(d, bench), lambda d: langid.identify(d, model), near_copies.near_copies):
+        assert sorted(map(str, f(clash).collect())) == sorted(map(str, f(plain).collect()))
+    assert url_filter.filter_urls(pages).collect()[0]["rule"] == "org/"
+    dropped = stage(plain.filter("doc_id > 50").select("doc_id"), "dropped")
+    for f in (exact_dedup.first_of_equals, lambda d: decontam.clean(d, bench), lambda d: langid.keep_known(d, model, 0.0), lambda d: without(d, dropped)):
+        out = f(clash)
+        assert out.columns == clash.columns and sorted(map(str, out.select("doc_id", "text", "lang").collect())) == sorted(map(str, f(plain).collect()))
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+
+
+def test_sieves_hold_all_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    for bits, n in ((1 << 27, 30_000), (1 << 16, 30_000), (1 << 27, 1), (1 << 27, 0)):
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        sieve = common.Sieve(spark.range(n).select((F.col("id") * 7919 - 1000).alias("k")))
+        asked = spark.range(-5000, 60_000).select("id", sieve.may_hold(F.col("id")).alias("may"), sieve.hash_of(F.col("id")).alias("h")).toPandas()
+        assert (sieve.may(asked["h"].to_numpy()) == asked["may"]).all()
+        held = (asked["id"] + 1000) % 7919 == 0
+        held &= (asked["id"] >= -1000) & (asked["id"] < 7919 * n - 1000)
+        assert asked["may"][held].all() and len(sieve.packed) <= bits // 8 and (bits == 1 << 16 or asked["may"][~held].mean() < 0.01)
+
+
 def test_empty_tables(spark, tokenizers):
     none = frame(spark, EDGES).filter("false")
     bench = spark.createDataFrame([], "item_id long, text string")
