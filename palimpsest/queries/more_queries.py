@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import ir, telemetry
-from palimpsest.fixed import QUERY_WORDS
+from palimpsest.fixed import QUERY_WORDS, TOPIC_STOPWORDS
 from palimpsest.functions import lang
 from palimpsest.operators import context, evaluation, merging, multilang, selection
-from palimpsest.plans import summaries
+from palimpsest.plans import passes, summaries
 from palimpsest.queries import base
 from palimpsest.queries.base import EVENTS, PEOPLE, TURNS, words_sql
 from palimpsest.queries.memory_queries import _customer_relations, _REL
@@ -174,3 +174,41 @@ def fn_summaries(spark, d):
 @query(f"{E} SELECT conv_id, count(*) AS n FROM sevents WHERE event_type = 'error' GROUP BY conv_id")
 def agg_errors(spark, d):
     return base.stream_events(spark, d).events.filter("event_type = 'error'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- topics, orders, hashes
+
+
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in TOPIC_STOPWORDS)
+
+
+@query(rf"""WITH {TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns), e AS (SELECT conv_id, turn, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') AS ws FROM r WHERE back <= 5),
+w AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM e), c AS (SELECT conv_id, word, count(*) AS n, min([turn, pos]) AS first FROM w WHERE length(word) > 2 AND word NOT IN ({_COMMON}) GROUP BY conv_id, word)
+SELECT conv_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS k FROM c) WHERE k <= 5""")
+def agg_topics(spark, d):
+    return passes.topics(base.turns(spark, d))
+
+
+@query(f"{E} SELECT conv_id, evt_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, ord) AS at FROM sevents")
+def win_events_in_order(spark, d):
+    return base.stream_events(spark, d).events.select("conv_id", "evt_id", F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn, ord)").cast("bigint").alias("at"))
+
+
+@query("SELECT p_partkey, md5(p_name) AS md5, sha256(p_name) AS sha256, substring(sha256(p_name), 1, 16) AS short FROM part")
+def fn_hashes(spark, d):
+    return base.table(spark, d, "part").select("p_partkey", F.md5("p_name").alias("md5"), F.sha2("p_name", 256).alias("sha256"), F.substring(F.sha2("p_name", 256), 1, 16).alias("short"))
+
+
+@query("""SELECT DISTINCT md5(name) AS key, name FROM (SELECT p_name AS name FROM part UNION ALL SELECT s_name FROM supplier) WHERE md5(name) NOT IN (SELECT md5(p_name) FROM part WHERE p_partkey % 3 = 0)""")
+def join_uncached(spark, d):
+    """Different texts that a table of embeddings by hash lacks, each once."""
+    part = base.table(spark, d, "part")
+    asked = part.select(F.col("p_name").alias("name")).unionByName(base.table(spark, d, "supplier").select(F.col("s_name").alias("name"))).distinct().withColumn("key", F.md5("name"))
+    return asked.join(part.filter("p_partkey % 3 = 0").select(F.md5("p_name").alias("key")).distinct(), "key", "left_anti").select("key", "name")
+
+
+@query(f"""{E} SELECT o.conv_id, o.ord FROM sevents o LEFT JOIN (SELECT DISTINCT conv_id, lower(description) AS said FROM sevents WHERE turn % 2 = 0) k ON k.conv_id = o.conv_id AND k.said = lower(o.description) WHERE o.turn % 2 = 1 AND k.said IS NULL""")
+def str_unseen(spark, d):
+    """What a buffer's new half says that the old half did not, without regard to case."""
+    e = base.stream_events(spark, d).events.withColumn("said", F.lower("description"))
+    return e.filter("turn % 2 = 1").join(e.filter("turn % 2 = 0").select("conv_id", "said").distinct(), ["conv_id", "said"], "left_anti").select("conv_id", "ord")
