@@ -705,6 +705,13 @@ def str_token_buffer(spark, d):
     return buffers.within_tokens(base.turns(spark, d), 200).select("conv_id", "turn")
 
 
+@query(f"""WITH {TURNS}, k AS (SELECT conv_id, {_TOK} AS tokens, sum({_TOK}) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM turns)
+SELECT conv_id, sum(tokens)::BIGINT AS tokens, round(least(1.0, sum(tokens) / 200), 6) AS utilisation, greatest(0, 200 - sum(tokens))::BIGINT AS remaining FROM k WHERE used <= 200 OR k = 1 GROUP BY conv_id""")
+def str_utilisation(spark, d):
+    used = buffers.utilisation(base.turns(spark, d), 200)
+    return used.select("conv_id", F.col("tokens").cast("bigint").alias("tokens"), F.round("utilisation", 6).alias("utilisation"), F.greatest(F.lit(0), 200 - F.col("tokens")).cast("bigint").alias("remaining"))
+
+
 @query(f"WITH {TURNS} SELECT conv_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS text FROM (SELECT *, sum({_TOK}) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM turns) WHERE used <= 300 GROUP BY conv_id")
 def str_recent_context(spark, d):
     return buffers.recent_context(base.turns(spark, d), 300)
