@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import ir, plugins
+from palimpsest.fixed import MARKDOWN_HEADERS, STRUCTURED_HEADERS
 from palimpsest.functions import scores, similarity as sim
 from palimpsest.functions.text import sentence
 from palimpsest.operators import context, evaluation, extraction, folding, graph, merging, selection, temporal, versioning
@@ -249,7 +250,9 @@ def agg_similar_groups(spark, d):
     return got.join(o("fact_id", "ord"), ["conv_id", "fact_id"]).join(o("root", "rord"), ["conv_id", "root"]).select("conv_id", "ord", F.col("rord").alias("root"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TURNS}, {EXTRACTED}, {_SIM}, e AS (SELECT conv_id, a, b FROM pairs WHERE similarity >= 0.5 UNION SELECT conv_id, b, a FROM pairs WHERE similarity >= 0.5),
+reach AS (SELECT conv_id, a, a AS r FROM e UNION SELECT reach.conv_id, e.b, reach.r FROM reach JOIN e ON e.conv_id = reach.conv_id AND e.a = reach.a), roots AS (SELECT conv_id, a AS ord, min(r) AS root FROM reach GROUP BY conv_id, a)
+SELECT conv_id, subject, predicate, object FROM facts f LEFT JOIN roots USING (conv_id, ord) QUALIFY root IS NULL OR row_number() OVER (PARTITION BY conv_id, root ORDER BY confidence DESC, ord) = 1""")
 def pass_fold_facts(spark, d):
     return passes.fold_facts(passes.checkpointed(base.memory(spark, d)), 0.5).facts.select("conv_id", "subject", "predicate", "object")
 
@@ -403,7 +406,17 @@ def win_greedy_by_ratio(spark, d):
     return selection.greedy(_parts(spark, d), "p_brand", "id", "weight", [selection.by_ratio("value", "weight"), F.col("ord")], F.lit(100))
 
 
-@query()
+def _knapsack_sql(items: str, out: str) -> str:
+    """The best choices for each budget up to 100, item by item; an item is taken where it improves."""
+    start, keep = "struct_pack(v := 0::BIGINT, w := 0::BIGINT, n := 0::BIGINT, value := 0::DOUBLE)", "own[b - i.w + 1]"
+    return f"""WITH RECURSIVE {items}, best AS (SELECT p_brand, 0::BIGINT AS k, list_transform(range(101), lambda b: {start}) AS own FROM (SELECT DISTINCT p_brand FROM it)
+  UNION ALL SELECT i.p_brand, i.k, list_transform(range(101), lambda b: CASE WHEN b >= i.w AND {keep}.v + i.v > own[b + 1].v
+    THEN struct_pack(v := {keep}.v + i.v, w := {keep}.w + i.w, n := {keep}.n + 1, value := {keep}.value + i.value) ELSE own[b + 1] END) FROM best JOIN it i ON i.p_brand = best.p_brand AND i.k = best.k + 1)
+SELECT p_brand, {out} FROM best QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY k DESC) = 1"""
+
+
+@query(_knapsack_sql("it AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_size::BIGINT AS w, trunc(p_retailprice * 1000::DOUBLE)::BIGINT AS v, p_retailprice AS value FROM part)",
+                     "own[101].w AS weight, round(own[101].value, 2) AS value"))
 def win_knapsack(spark, d):
     p = _parts(spark, d)
     kept = selection.knapsack_by_group(p.withColumn("budget", F.lit(100)), "p_brand")
@@ -466,7 +479,8 @@ def ctx_pack_hierarchical(spark, d):
     return context.pack(_items(spark, d), "hierarchical", 100, "p_brand").select("p_brand", "id")
 
 
-@query()
+@query(_knapsack_sql(f"{_ITEMS}, it AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY ord) AS k, tokens::BIGINT AS w, trunc((importance + recency + relevance) / 3 * 1000)::BIGINT AS v, importance AS value FROM items)",
+                     "own[101].w AS tokens, own[101].n AS n"))
 def ctx_pack_knapsack(spark, d):
     return context.pack(_items(spark, d), "knapsack", 100, "p_brand").groupBy("p_brand").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
 
@@ -478,7 +492,18 @@ def ctx_items(spark, d):
     return context.items(base.people(spark, d)).select("conv_id", "id", "content", "tokens", F.round("recency", 9).alias("recency"), "item_type")
 
 
-@query()
+def _header_sql(table: dict[str, str]) -> str:
+    return "CASE item_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+@query(f"""WITH {_ITEMS}, best AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY importance DESC, ord) <= 8),
+kinds AS (SELECT p_brand, item_type, min(ord) AS first, string_agg('• ' || content, chr(10) ORDER BY ord) AS dots, string_agg('- ' || content, chr(10) ORDER BY ord) AS dashes,
+  string_agg('    <' || item_type || '>' || replace(replace(content, '<', '&lt;'), '>', '&gt;') || '</' || item_type || '>', chr(10) ORDER BY ord) AS tags FROM best GROUP BY p_brand, item_type)
+SELECT p_brand, 'plain' AS form, string_agg(content, chr(10) ORDER BY ord) AS text FROM best GROUP BY p_brand
+UNION ALL SELECT p_brand, 'json', '{{"context":{{"additional":"","items":' || to_json(list(struct_pack(type := item_type, content := content, importance := importance) ORDER BY ord))::VARCHAR || '}}}}' FROM best GROUP BY p_brand
+UNION ALL SELECT p_brand, 'structured', '=== Relevant Context ===' || chr(10) || string_agg(chr(10) || '--- ' || {_header_sql(STRUCTURED_HEADERS)} || ' ---' || chr(10) || dots, chr(10) ORDER BY first) || chr(10) || chr(10) || '=== End Context ===' FROM kinds GROUP BY p_brand
+UNION ALL SELECT p_brand, 'xml', '<context>' || chr(10) || string_agg('  <' || item_type || 's>' || chr(10) || tags || chr(10) || '  </' || item_type || 's>', chr(10) ORDER BY first) || chr(10) || '</context>' FROM kinds GROUP BY p_brand
+UNION ALL SELECT p_brand, 'markdown', '## Relevant Context' || chr(10) || chr(10) || string_agg({_header_sql(MARKDOWN_HEADERS)} || chr(10) || dashes || chr(10), chr(10) ORDER BY first) FROM kinds GROUP BY p_brand""")
 def ctx_render(spark, d):
     things = selection.top_k(_items(spark, d), 8, [F.desc("importance"), F.col("ord")], "p_brand")
     out = None
@@ -488,7 +513,10 @@ def ctx_render(spark, d):
     return out
 
 
-@query()
+@query(f"""WITH {_ITEMS}, l AS (SELECT p_brand, list([struct_pack(id := id, words := list_distinct({words_sql('content')}), score := importance)] ORDER BY ord) AS l FROM items GROUP BY p_brand),
+r AS (SELECT p_brand, list_reduce(l, lambda a, x: list_transform([list_filter(range(1, len(a) + 1), lambda k: len(list_intersect(a[k].words, x[1].words)) * 2 >= len(list_distinct(list_concat(a[k].words, x[1].words))))[1]],
+  lambda k: CASE WHEN k IS NULL THEN list_concat(a, x) WHEN x[1].score > a[k].score THEN list_concat(list_concat(list_filter(a, lambda y, j: j < k), list_filter(a, lambda y, j: j > k)), x) ELSE a END)[1]) AS r FROM l)
+SELECT p_brand, unnest(list_transform(r, lambda x: x.id)) AS id, unnest(range(len(r)))::INT AS place FROM r""")
 def win_near_duplicates(spark, d):
     return selection.near_duplicates(_items(spark, d), "p_brand", 0.5)
 
@@ -520,7 +548,20 @@ def plan_compress(spark, d):
     return compress.compress(base.turns(spark, d), {"budget": 400, "rounds": 10})
 
 
-@query()
+_STRUCTURED = f"""{P}, ends AS (SELECT conv_id, lower(subject) AS n, importance, ord, predicate || ' ' || object AS said FROM pfacts UNION ALL SELECT conv_id, lower(object), importance, ord, predicate || ' ' || object FROM pfacts),
+tops AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY conv_id, n ORDER BY importance DESC, ord) = 1),
+r AS (SELECT e.*, coalesce(nullif(concat_ws('; ', nullif(e.type, 'other'), said), ''), 'mentioned in conversation') AS said, list_position([{", ".join(f"'{t}'" for t in generation.SHOWN_TYPES)}], e.type) AS place,
+  row_number() OVER (PARTITION BY e.conv_id, e.type ORDER BY e.importance DESC, e.ord) AS k FROM pents e LEFT JOIN tops t ON t.conv_id = e.conv_id AND t.n = lower(e.name)),
+el AS (SELECT conv_id, 0 AS place, 0 AS k, '## Key Entities' AS line FROM pents GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id, place, 0, chr(10) || '### ' || upper(type[1]) || type[2:] || 's' FROM r UNION ALL SELECT conv_id, place, k, '- **' || name || '**: ' || said FROM r WHERE k <= 10),
+subjects AS (SELECT conv_id, subject, row_number() OVER (PARTITION BY conv_id ORDER BY sum(importance) DESC, -max(importance), min(ord)) AS place FROM pfacts GROUP BY conv_id, subject QUALIFY place <= 15),
+fr AS (SELECT *, row_number() OVER (PARTITION BY conv_id, subject ORDER BY importance DESC, ord) AS k FROM pfacts),
+fl AS (SELECT conv_id, 0 AS place, 0 AS k, '## Key Information' AS line FROM pfacts GROUP BY conv_id UNION ALL SELECT conv_id, place, 0, chr(10) || '**' || subject || ':**' FROM subjects
+  UNION ALL SELECT conv_id, place, k, '- ' || predicate || ' ' || object FROM fr JOIN subjects USING (conv_id, subject) WHERE k <= 5),
+parts AS (SELECT conv_id, 0 AS p, string_agg(line, chr(10) ORDER BY place, k) AS text FROM el GROUP BY conv_id UNION ALL SELECT conv_id, 1, string_agg(line, chr(10) ORDER BY place, k) FROM fl GROUP BY conv_id),
+whole AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY p) AS text FROM parts GROUP BY conv_id)"""
+
+
+@query(f"{_STRUCTURED} SELECT conv_id, text FROM whole")
 def gen_structured(spark, d):
     return generation.structured(base.people(spark, d))
 
@@ -545,12 +586,20 @@ def gen_bullets(spark, d):
     return generation.bullets(base.people(spark, d))
 
 
-@query()
+@query(f"""{P}, e AS (SELECT conv_id, to_json(list(struct_pack(name := name, type := type, importance := round(importance, 3)) ORDER BY ord))::VARCHAR AS e FROM pents GROUP BY conv_id),
+f AS (SELECT conv_id, to_json(list(struct_pack(subject := subject, predicate := predicate, object := object, confidence := confidence, importance := round(importance, 3)) ORDER BY ord))::VARCHAR AS f FROM pfacts GROUP BY conv_id)
+SELECT conv_id, '{{' || concat_ws(',', '"entities":' || e, '"facts":' || f) || '}}' AS text FROM e FULL JOIN f USING (conv_id)""")
 def gen_json(spark, d):
     return generation.as_json(base.people(spark, d))
 
 
-@query()
+@query(f"""{_STRUCTURED.replace("WITH ", "WITH RECURSIVE ", 1)}, en AS (SELECT conv_id, list('- **' || name || '**' ORDER BY importance DESC, ord) AS e FROM pents GROUP BY conv_id),
+fn AS (SELECT conv_id, list('- ' || subject || CASE WHEN negated THEN ' not ' ELSE ' ' END || predicate || ' ' || object ORDER BY importance DESC, ord) AS f FROM pfacts GROUP BY conv_id),
+tries AS (SELECT conv_id, 0 AS k, text, length(text) // 4 AS tokens FROM whole
+  UNION ALL SELECT conv_id, k + 1, said, length(said) // 4 FROM (SELECT conv_id, k, tokens, concat_ws(chr(10) || chr(10), '## Key Entities' || chr(10) || array_to_string(e[1:greatest(3, floor(200::DOUBLE / tokens * 10))::BIGINT], chr(10)),
+    '## Key Information' || chr(10) || array_to_string(f[1:greatest(5, floor(200::DOUBLE / tokens * 20))::BIGINT], chr(10))) AS said FROM tries LEFT JOIN en USING (conv_id) LEFT JOIN fn USING (conv_id)) t
+  WHERE k < 5 AND tokens > CASE WHEN k = 0 THEN 200 ELSE 220 END)
+SELECT conv_id, text, tokens FROM tries QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1""")
 def gen_adaptive(spark, d):
     return generation.adaptive(base.people(spark, d), budget=200)
 
@@ -604,13 +653,27 @@ def _exact(s: DataFrame, c: DataFrame) -> DataFrame:
     return pairs.filter("na = nb").select("conv_id", "a", "b")
 
 
-@query()
-def set_smart_merge(spark, d):
+@query(f"{P} SELECT conv_id, 'entities' AS part, count(DISTINCT lower(name)) AS n FROM pents GROUP BY conv_id UNION ALL SELECT conv_id, 'facts', count(DISTINCT lower(concat_ws('|', subject, predicate, object))) FROM pfacts GROUP BY conv_id")
+def set_union_merge(spark, d):
     m = base.people(spark, d)
     half = lambda k: m.with_(entities=m.entities.filter(F.col("ord") % 3 != k), facts=m.facts.filter(F.col("ord") % 3 != k))
     return passes.counts(merging.merge([half(0), half(1)], "union")).filter("part in ('entities', 'facts')")
 
 
+@query(f"""{P}, a AS (SELECT * FROM pents WHERE type = 'location' AND ord % 3 <> 0), b AS (SELECT * FROM pents WHERE type = 'location' AND ord % 3 <> 1), fb AS (SELECT * FROM pfacts WHERE ord % 3 <> 1)
+SELECT conv_id, 'entity' AS part, coalesce(a.name, lower(b.name)) AS name, CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL THEN lower(b.name) ELSE '' END AS aliases, round(greatest(coalesce(a.importance, 0), coalesce(b.importance + 0.01, 0)), 9) AS importance FROM a FULL JOIN b USING (conv_id, ent_id)
+UNION ALL SELECT conv_id, 'fact', subject, '', round(CASE WHEN ord % 3 = 1 THEN confidence ELSE confidence + 0.05 END, 9) FROM pfacts""")
+def set_smart_merge(spark, d):
+    m = base.people(spark, d)
+    places = m.entities.filter("type = 'location'")
+    one = m.with_(entities=places.filter("ord % 3 != 0"), facts=m.facts.filter("ord % 3 != 0"))
+    two = m.with_(entities=places.filter("ord % 3 != 1").withColumns({"name": F.lower("name"), "type": F.lit("concept"), "importance": F.col("importance") + 0.01}),
+                  facts=m.facts.filter("ord % 3 != 1").withColumn("confidence", F.col("confidence") + 0.05))
+    got = merging.merge([one, two], "smart")
+    row = lambda df, part, name, aliases, score: df.select("conv_id", F.lit(part).alias("part"), F.col(name).alias("name"), aliases.alias("aliases"), F.round(score, 9).alias("importance"))
+    return row(got.entities, "entity", "name", F.array_join("aliases", ","), "importance").unionByName(row(got.facts, "fact", "subject", F.lit(""), "confidence"))
+
+
 def _edited(spark, d) -> ir.Memory:
     m = base.people(spark, d)
     f = m.facts.filter(F.col("ord") % 10 != 0).withColumn("object", F.when(F.col("ord") % 10 == 1, "ELSEWHERE").otherwise(F.col("object")))
@@ -644,7 +707,13 @@ def src_upsert(spark, d):
     return stores.latest(o).select("key", "updated_at")
 
 
-@query()
+_GRAPH = f"""{P}, i AS (SELECT conv_id, lower(name) AS n, arg_max(ent_id, ord) AS e FROM pents GROUP BY 1, 2),
+ed AS (SELECT f.conv_id, f.fact_id AS a, i.e AS b, 'subject' AS label FROM pfacts f JOIN i ON i.conv_id = f.conv_id AND i.n = lower(f.subject) UNION ALL SELECT f.conv_id, f.fact_id, i.e, 'object' FROM pfacts f JOIN i ON i.conv_id = f.conv_id AND i.n = lower(f.object)),
+nd AS (SELECT conv_id, ent_id AS id, name AS label, 'entity' AS kind FROM pents UNION ALL SELECT conv_id, fact_id, concat_ws(' ', subject, predicate, object), 'fact' FROM pfacts)"""
+
+
+@query(f"""{_GRAPH}, l AS (SELECT conv_id, 0 AS s, id AS a, '' AS b, '  "' || id || '" [label="' || replace(label, '"', '\\"') || '"];' AS line FROM nd UNION ALL SELECT conv_id, 1, a, b, '  "' || a || '" -> "' || b || '" [label="' || label || '"];' FROM ed)
+SELECT conv_id, 'digraph memory {{' || chr(10) || string_agg(line, chr(10) ORDER BY s, a, b, line) || chr(10) || '}}' AS text FROM l GROUP BY conv_id""")
 def src_graph_dot(spark, d):
     return stores.dot(base.people(spark, d))
 
@@ -722,7 +791,9 @@ def str_micro_batches(spark, d):
     return buffers.micro_batches(base.turns(spark, d), 5, 200)
 
 
-@query()
+@query(f"""{E}, l AS (SELECT conv_id, list([struct_pack(priority := importance, ord := ord, id := evt_id)] ORDER BY ord) AS l FROM sevents GROUP BY conv_id),
+r AS (SELECT conv_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(a) < 5 THEN list_sort(list_concat(a, x)) WHEN x[1].priority > a[1].priority THEN list_sort(list_concat(a[2:], x)) ELSE a END)) AS e FROM l)
+SELECT conv_id, e.id AS id, e.priority AS priority FROM r""")
 def str_priority_buffer(spark, d):
     e = base.stream_events(spark, d).events
     return buffers.by_priority(e.select("conv_id", "ord", F.col("evt_id").alias("id"), F.col("importance").alias("priority")), 5)
@@ -740,7 +811,10 @@ def str_prefixes(spark, d):
     return compress.prefixes(base.turns(spark, d), 3).select("conv_id", "upto", "turn")
 
 
-@query()
+@query(rf"""WITH {TURNS}, w AS (SELECT conv_id, turn, len({words_sql('content')}) AS n, len(regexp_extract_all(content, '\b[0-9]{{1,2}}[/-][0-9]{{1,2}}\b')) AS dates, regexp_extract_all(content, '([\p{{L}}\p{{N}}_]+)', 1) AS ws FROM turns),
+d AS (SELECT conv_id, turn, CASE WHEN n = 0 THEN 0 ELSE (dates + len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z][a-z]+$'))) + len(list_filter(ws, lambda w: regexp_matches(w, '^[0-9]+$')))) / n END AS density FROM w),
+m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, avg(density) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean FROM d)
+SELECT conv_id, turn, round(CASE WHEN n < 5 THEN 0.5 WHEN mean > 0.15 THEN 0.3 WHEN mean < 0.05 THEN 0.7 ELSE 0.7 - (mean - 0.05) * 4 END, 6) AS ratio FROM m""")
 def str_adaptive_ratio(spark, d):
     return buffers.adaptive_ratio(base.turns(spark, d)).select("conv_id", "turn", F.round("ratio", 6).alias("ratio"))
 

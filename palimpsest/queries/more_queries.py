@@ -14,7 +14,7 @@ from palimpsest.operators import context, evaluation, merging, multilang, select
 from palimpsest.plans import passes, summaries
 from palimpsest.queries import base
 from palimpsest.queries.base import EVENTS, PEOPLE, TURNS, words_sql
-from palimpsest.queries.memory_queries import _customer_relations, _REL
+from palimpsest.queries.memory_queries import _GRAPH, _customer_relations, _REL
 from palimpsest.sources import dialogues, stores
 from palimpsest.streaming import buffers
 
@@ -53,12 +53,18 @@ def src_graph_edges(spark, d):
     return stores.graph_edges(base.people(spark, d))
 
 
-@query()
+@query(f"""{_GRAPH}, n AS (SELECT conv_id, to_json(list(struct_pack(id := id, label := label, kind := kind) ORDER BY id, label, kind))::VARCHAR AS n FROM nd GROUP BY conv_id),
+e AS (SELECT conv_id, to_json(list(struct_pack(source := a, target := b, label := label) ORDER BY a, b, label))::VARCHAR AS e FROM ed GROUP BY conv_id)
+SELECT conv_id, '{{"nodes":' || n || ',"edges":' || coalesce(e, '[]') || '}}' AS text FROM n LEFT JOIN e USING (conv_id)""")
 def src_graph_json(spark, d):
     return stores.graph_json(base.people(spark, d))
 
 
-@query()
+@query(f"""{P}, c AS (SELECT r_regionkey::BIGINT AS conv_id, (SELECT count(*) FROM pents e WHERE e.conv_id = r_regionkey) AS e, (SELECT count(*) FROM pfacts f WHERE f.conv_id = r_regionkey) AS f FROM region),
+l AS (SELECT conv_id, 0 AS s, 0 AS k, chr(10) || 'Entities: ' || e AS line FROM c UNION ALL SELECT conv_id, 1, ord, '  - ' || name || ' (' || type || ')' FROM pents UNION ALL SELECT conv_id, 10, 0, chr(10) || 'Facts: ' || f FROM c
+  UNION ALL SELECT * FROM (SELECT conv_id, 11, ord, '  - ' || subject || CASE WHEN negated THEN ' not ' ELSE ' ' END || predicate || ' ' || object FROM pfacts QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY ord) <= 10) t
+  UNION ALL SELECT conv_id, 12, 0, '  ... and ' || (f - 10) || ' more' FROM c WHERE f > 10 UNION ALL SELECT conv_id, 20, 0, chr(10) || 'Relations: 0' FROM c UNION ALL SELECT conv_id, 30, 0, chr(10) || 'Events: 0' FROM c)
+SELECT conv_id, repeat('=', 50) || chr(10) || 'MEMORY SUMMARY' || chr(10) || repeat('=', 50) || chr(10) || string_agg(line, chr(10) ORDER BY s, k) || chr(10) || chr(10) || repeat('=', 50) AS text FROM l GROUP BY conv_id""")
 def src_outline(spark, d):
     return stores.outline(base.people(spark, d))
 
