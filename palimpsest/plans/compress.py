@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, fields, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import tokens_quarter
 from palimpsest.ir import Memory
-from palimpsest.operators import extraction, temporal
+from palimpsest.operators import evaluation, extraction, temporal
 from palimpsest.plans import generation, passes
 
 
@@ -49,6 +51,18 @@ def config(said: str | dict | Config = "default") -> Config:
     return replace(Config(), **said)
 
 
+def read_config(path: str) -> Config:
+    """Settings of a JSON file, or of a YAML file where a YAML library is there; `preset` names what they are laid over."""
+    text = Path(path).read_text()
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        values = yaml.safe_load(text) or {}
+    else:
+        values = json.loads(text)
+    return config({**vars(config(values.pop("preset", "default"))), **values})
+
+
 def optimise(memory: Memory, c: Config) -> Memory:
     """The passes in their order, once."""
     memory = passes.checkpointed(memory)
@@ -71,13 +85,28 @@ def tokens_of(turns: DataFrame) -> DataFrame:
 def compress(turns: DataFrame, said: str | dict | Config = "default", memory: Memory | None = None) -> DataFrame:
     """(conv_id, text, original_tokens, compressed_tokens, ratio); an empty conversation has ratio 1."""
     c = config(said)
-    memory = optimise(memory or extraction.extract(turns), c)
+    return written(turns, optimise(memory or extraction.extract(turns), c), c)
+
+
+def written(turns: DataFrame, memory: Memory, c: Config) -> DataFrame:
+    """What compress() returns, of a memory that the passes are done with."""
     text = generation.adaptive(memory, c.form, c.budget).select("conv_id", "text")
     out = tokens_of(turns).join(text, "conv_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     n = tokens_quarter(F.col("text"))
     return out.select("conv_id", "text", "original_tokens", n.alias("compressed_tokens"), F.when(F.col("original_tokens") > 0, n / F.col("original_tokens")).otherwise(1.0).alias("ratio"))
 
 
+def evaluate(turns: DataFrame, said: str | dict | Config = "default") -> DataFrame:
+    """(conv_id, ratio, fact_recall, entity_recall, tokens_saved): a compression against all that was extracted; of nothing, all is kept."""
+    c = config(said)
+    whole = passes.checkpointed(extraction.extract(turns))
+    kept = optimise(whole, c)
+    out = written(turns, kept, c).select("conv_id", "ratio", (F.col("original_tokens") - F.col("compressed_tokens")).alias("tokens_saved"))
+    for name, recall in (("fact_recall", evaluation.fact_recall(whole.facts, kept.facts)), ("entity_recall", evaluation.entity_recall(whole.entities, kept.entities))):
+        out = out.join(recall.select("conv_id", F.col("recall").alias(name)), "conv_id", "left")
+    return out.fillna(1.0, ["fact_recall", "entity_recall"])
+
+
 def compress_incremental(memory: Memory, new_turns: DataFrame, said: str | dict | Config = "default") -> DataFrame:
     """New turns into the memory there is, then all passes again."""
     grown = extraction.extract_incremental(memory, new_turns)

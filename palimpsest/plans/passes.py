@@ -180,11 +180,11 @@ def prune_adaptive(memory: Memory, rounds: int = 100) -> Memory:
 
 
 def topics(turns: DataFrame, last: int = 5, k: int = 5) -> DataFrame:
-    """(conv_id, word, n): the commonest words of the last turns; of equals the first met."""
+    """(conv_id, word, n, rank): the commonest words of the last turns; of equals the first met."""
     recent = selection.top_k(turns, last, [F.desc("turn")], "conv_id").drop("rank")
     each = recent.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("content"), F.lit(f"({W}+)"), F.lit(1))).alias("pos", "word"))
     counted = each.filter((F.length("word") > 2) & ~F.col("word").isin(*TOPIC_STOPWORDS)).groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "pos")).alias("first"))
-    return selection.top_k(counted, k, [F.desc("n"), F.col("first")], "conv_id").select("conv_id", "word", "n")
+    return selection.top_k(counted, k, [F.desc("n"), F.col("first")], "conv_id").select("conv_id", "word", "n", "rank")
 
 
 def predict(memory: Memory, k: int = 10) -> DataFrame:
@@ -198,7 +198,7 @@ def predict(memory: Memory, k: int = 10) -> DataFrame:
     about = top.withColumn("lname", F.lower("name")).join(named, ["conv_id", "lname"], "left_semi").select(
         *row(F.concat(F.lit("What do we know about "), "name", F.lit("?")), F.col("importance") * 0.7, "entity_facts", F.array("name"), none, seq(0, F.col("rank"), F.lit(1))))
     words_ = topics(memory.turns)
-    topic = words_.select(*row(F.concat(F.lit("What about "), "word", F.lit("?")), F.least(F.lit(1.0), F.col("n") * 0.15), "topic", none, F.array("word"), seq(1, -F.col("n"), F.lit(0))))
+    topic = words_.select(*row(F.concat(F.lit("What about "), "word", F.lit("?")), F.least(F.lit(1.0), F.col("n") * 0.15), "topic", none, F.array("word"), seq(1, F.col("rank"), F.lit(0))))
     asked = memory.turns.filter((F.col("role") == "user") & F.col("content").contains("?")).select("conv_id", "turn", F.posexplode(F.slice(F.regexp_extract_all("content", F.lit(r"([^.!?]*\?)"), F.lit(1)), 1, 2)).alias("pos", "q"))
     follow = asked.select(*row(F.trim("q"), F.lit(0.6), "follow_up", none, none, seq(2, F.col("turn"), F.col("pos"))))
     every = reduce(DataFrame.unionByName, (info, about, topic, follow))

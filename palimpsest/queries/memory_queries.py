@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import ir, plugins
-from palimpsest.fixed import MARKDOWN_HEADERS, STRUCTURED_HEADERS
+from palimpsest.fixed import MARKDOWN_HEADERS, STRUCTURED_HEADERS, TOPIC_STOPWORDS
 from palimpsest.functions import scores, similarity as sim
 from palimpsest.functions.text import sentence
 from palimpsest.operators import context, evaluation, extraction, folding, graph, merging, selection, temporal, versioning
@@ -314,7 +314,13 @@ def pass_temporal_compression(spark, d):
     return temporal.compress(base.stream_events(spark, d)).events.select("conv_id", "ord")
 
 
-@query()
+@query(f"""{E}, {_RUNS}, per AS (SELECT conv_id, run, event_type, count(*) AS n, min(turn) AS first FROM runs GROUP BY ALL),
+g AS (SELECT conv_id, run, sum(n)::BIGINT AS n, arg_max(event_type, [n, -first]) AS top, coalesce(sum(n) FILTER (WHERE event_type = 'question'), 0)::BIGINT AS asked, coalesce(sum(n) FILTER (WHERE event_type = 'answer'), 0) AS answers FROM per GROUP BY conv_id, run HAVING sum(n) >= 3),
+w AS (SELECT conv_id, run, min(turn) AS a, max(turn) AS z, array_to_string(list_sort(list(DISTINCT participant))[1:3], ', ') AS who FROM runs GROUP BY conv_id, run)
+SELECT conv_id, run AS ord, CASE WHEN top = 'question' AND answers > 0 THEN 'Q&A exchange with ' || asked || ' questions answered' WHEN top = 'question' THEN 'Discussion with ' || asked || ' questions'
+  WHEN top = 'error' THEN 'Encountered ' || (SELECT sum(p.n)::BIGINT FROM per p WHERE p.conv_id = g.conv_id AND p.run = g.run AND p.event_type = 'error') || ' issues' WHEN top = 'action' THEN 'Series of ' || n || ' actions involving ' || who
+  WHEN top = 'completion' THEN 'Completed ' || n || ' tasks' ELSE 'Sequence of ' || n || ' ' || top || ' events (turns ' || a || '-' || z || ')' END AS summary,
+  CASE WHEN top IN ('question', 'answer') THEN 'qa_exchange' ELSE top || '_sequence' END AS sequence_type FROM g JOIN w USING (conv_id, run)""")
 def fn_sequence_summaries(spark, d):
     return temporal.compress(base.stream_events(spark, d)).sequences.select("conv_id", "ord", "summary", "sequence_type")
 
@@ -329,7 +335,11 @@ def agg_phase_scores(spark, d):
     return temporal.phase_scores(base.stream_events(spark, d)).select("conv_id", F.col("phase").cast("bigint").alias("phase"), "n_events", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""{E}, {_PHASES}, s AS (SELECT ph.conv_id, ph.phase, ph.n, ph.phase * ph.size AS start, count(s.ord) AS k, coalesce(max(s.turn), 0) AS last, coalesce(sum(importance), 0) * 0.4::DOUBLE + (ph.phase + 1) / ((ph.n - 1) // ph.size + 1) * 0.4::DOUBLE AS score
+  FROM ph LEFT JOIN sevents s ON s.conv_id = ph.conv_id AND s.turn // ph.size = ph.phase GROUP BY ph.conv_id, ph.phase, ph.n, ph.size),
+b AS (SELECT *, sum(k) OVER (PARTITION BY conv_id) AS total, coalesce(sum(greatest(k - 1, 0)) OVER (PARTITION BY conv_id ORDER BY round(score, 12), phase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+c AS (SELECT *, n >= 10 AND k >= 2 AND total - before > floor(total * 0.7::DOUBLE) AS picked FROM b)
+SELECT conv_id, sum(CASE WHEN picked THEN 1 ELSE k END)::BIGINT AS n, max(CASE WHEN picked THEN start ELSE last END)::INT AS last FROM c WHERE k > 0 GROUP BY conv_id""")
 def pass_phase_compression(spark, d):
     return temporal.compress_phases(base.stream_events(spark, d)).events.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
 
@@ -533,12 +543,34 @@ def pass_adaptive_pruning(spark, d):
     return passes.counts(passes.prune_adaptive(m, rounds=10)).filter("part in ('entities', 'facts', 'events')")
 
 
-@query()
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in TOPIC_STOPWORDS)
+_PREDICTED = rf"""{T}, best AS (SELECT conv_id, name, least(1::DOUBLE, refs * 0.1::DOUBLE) AS importance, row_number() OVER (PARTITION BY conv_id ORDER BY importance DESC, ord) AS rank FROM linked QUALIFY rank <= 5),
+ends AS (SELECT DISTINCT conv_id, unnest([lower(subject), lower(object)]) AS n FROM facts),
+recent AS (SELECT conv_id, turn, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') AS ws FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5),
+met AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM recent),
+tops AS (SELECT conv_id, word, count(*) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, min([turn, pos])) AS rank FROM met WHERE length(word) > 2 AND word NOT IN ({_COMMON}) GROUP BY conv_id, word QUALIFY rank <= 5),
+asked AS (SELECT conv_id, turn, unnest(l) AS q, unnest(range(len(l))) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(content, '([^.!?]*\?)', 1)[1:2] AS l FROM turns WHERE role = 'user' AND contains(content, '?')) t),
+likely AS (SELECT conv_id, 'What is ' || name || '?' AS query, importance * 0.8::DOUBLE AS relevance, 'entity_info' AS query_type, name AS target, [0, rank, 0] AS seq FROM best
+  UNION ALL SELECT conv_id, 'What do we know about ' || name || '?', importance * 0.7::DOUBLE, 'entity_facts', name, [0, rank, 1] FROM best WHERE (conv_id, lower(name)) IN (SELECT (conv_id, n) FROM ends)
+  UNION ALL SELECT conv_id, 'What about ' || word || '?', least(1::DOUBLE, n * 0.15::DOUBLE), 'topic', NULL, [1, rank, 0] FROM tops
+  UNION ALL SELECT conv_id, trim(q), 0.6::DOUBLE, 'follow_up', NULL, [2, turn, pos] FROM asked),
+once AS (SELECT * FROM likely QUALIFY row_number() OVER (PARTITION BY conv_id, lower(query) ORDER BY seq) = 1),
+predicted AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY relevance DESC, seq) <= 10)"""
+
+
+@query(f"{_PREDICTED} SELECT conv_id, query, round(relevance, 9) AS relevance, query_type FROM predicted")
 def pass_query_prediction(spark, d):
     return passes.predict(base.talked(spark, d)).select("conv_id", "query", F.round("relevance", 9).alias("relevance"), "query_type")
 
 
-@query()
+@query(f"""{_PREDICTED}, we AS (SELECT e.conv_id, e.ord, CASE WHEN lower(q.target) = lower(e.name) THEN 1::DOUBLE ELSE least(1::DOUBLE, CASE WHEN contains(lower(q.query), lower(e.name)) THEN 0.8::DOUBLE ELSE 0 END
+    + CASE WHEN len(list_intersect({words_sql('e.name')}, {words_sql('q.query')})) > 0 THEN 0.5::DOUBLE ELSE 0 END) END * q.relevance AS r FROM ents e JOIN predicted q USING (conv_id)),
+ge AS (SELECT conv_id, ord FROM we GROUP BY conv_id, ord HAVING max(r) < 0.3),
+wf AS (SELECT f.conv_id, f.ord, least(1::DOUBLE, CASE WHEN contains(lower(f.subject), lower(q.target)) THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN contains(lower(f.object), lower(q.target)) THEN 0.3::DOUBLE ELSE 0 END
+    + least(0.4::DOUBLE, len(list_intersect(list_distinct({words_sql("concat_ws(' ', f.subject, f.predicate, f.object)")}), list_distinct({words_sql('q.query')}))) * 0.1::DOUBLE)) * q.relevance AS r FROM facts f JOIN predicted q USING (conv_id)),
+dead AS (SELECT conv_id, name AS n FROM ents JOIN ge USING (conv_id, ord)),
+gf AS (SELECT conv_id, ord FROM wf GROUP BY conv_id, ord HAVING max(r) < 0.3 UNION SELECT f.conv_id, f.ord FROM facts f JOIN dead d ON d.conv_id = f.conv_id AND d.n IN (f.subject, f.object))
+SELECT conv_id, 'entities' AS part, count(*) AS n FROM ents e ANTI JOIN ge USING (conv_id, ord) GROUP BY conv_id UNION ALL SELECT conv_id, 'facts', count(*) FROM facts f ANTI JOIN gf USING (conv_id, ord) GROUP BY conv_id""")
 def pass_query_pruning(spark, d):
     return passes.counts(passes.prune_by_queries(passes.checkpointed(base.talked(spark, d)))).filter("part in ('entities', 'facts')")
 

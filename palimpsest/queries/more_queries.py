@@ -167,7 +167,21 @@ def fn_language_code(spark, d):
     return base.table(spark, d, "documents").select("doc_id", lang.from_code(F.col("lang")).alias("code"))
 
 
-@query()
+@query(rf"""WITH {base.TALK}, {base.EXTRACTED}, n AS (SELECT conv_id, count(*) AS turns, sum(len({words_sql("role || ': ' || content")}) * 4 // 3)::BIGINT AS tokens FROM turns GROUP BY conv_id),
+first AS (SELECT conv_id, name, ord, row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS k FROM ents QUALIFY k <= 5),
+called AS (SELECT conv_id, regexp_extract(content, '(?i)(?:I''m|my name is|I am) ([\p{{L}}\p{{N}}_]+)', 1) AS v, [0, turn] AS o FROM turns UNION ALL SELECT conv_id, name, [1, k] FROM first),
+tops AS (SELECT conv_id, turn, regexp_extract_all(content, '(\b[A-Z][a-z]+(?:\s+[a-z]+)*\b)', 1)[1:2] AS l FROM turns),
+topic AS (SELECT conv_id, unnest(l) AS v, [turn, unnest(range(len(l)))] AS o FROM tops),
+point AS (SELECT conv_id, concat_ws(' ', subject, predicate, object) AS v, [ord] AS o FROM facts),
+every AS (SELECT 'names' AS what, 5 AS most, * FROM called WHERE v <> '' UNION ALL SELECT 'topics', 3, * FROM topic UNION ALL SELECT 'points', 5, * FROM point),
+kept AS (SELECT what, conv_id, v, min(o) AS o FROM every GROUP BY what, most, conv_id, v QUALIFY row_number() OVER (PARTITION BY what, conv_id ORDER BY min(o)) <= most),
+l AS (SELECT n.*, coalesce(string_agg(v, ', ' ORDER BY o) FILTER (WHERE what = 'names'), 'participants') AS names, coalesce(string_agg(v, ', ' ORDER BY o) FILTER (WHERE what = 'topics'), 'various topics') AS topics,
+  list('- ' || v ORDER BY o) FILTER (WHERE what = 'points') AS points FROM n LEFT JOIN kept USING (conv_id) GROUP BY ALL),
+s AS (SELECT conv_id, tokens, 'executive' AS style, 'A ' || turns || '-turn conversation involving ' || names || ' discussing ' || topics || '.' AS summary FROM l
+  UNION ALL SELECT conv_id, tokens, 'bullet', concat_ws(chr(10), '- Participants: ' || names, '- Topics: ' || topics, '- Duration: ' || turns || ' exchanges', array_to_string(points[1:3], chr(10))) FROM l
+  UNION ALL SELECT conv_id, tokens, 'narrative', 'In this conversation, ' || names || ' engaged in a discussion about ' || topics || '. Over the course of ' || turns || ' exchanges, they covered various aspects of the topic.' || coalesce(' Key information shared includes: ' || points[1][3:] || '.', '') FROM l
+  UNION ALL SELECT conv_id, tokens, 'detailed', 'Summary of conversation (' || turns || ' turns):' || chr(10) || 'Participants: ' || names || chr(10) || 'Main topics: ' || topics || chr(10) || coalesce('Key points:' || chr(10) || array_to_string(points[1:5], chr(10)), '') FROM l)
+SELECT conv_id, style, summary, tokens AS original_tokens, len({words_sql('summary')}) * 4 // 3 AS summary_tokens FROM s""")
 def fn_summaries(spark, d):
     t = base.talk(spark, d)
     out = None
@@ -190,7 +204,7 @@ _COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in TOPIC_STOPWORDS)
 
 @query(rf"""WITH {TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns), e AS (SELECT conv_id, turn, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') AS ws FROM r WHERE back <= 5),
 w AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM e), c AS (SELECT conv_id, word, count(*) AS n, min([turn, pos]) AS first FROM w WHERE length(word) > 2 AND word NOT IN ({_COMMON}) GROUP BY conv_id, word)
-SELECT conv_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS k FROM c) WHERE k <= 5""")
+SELECT conv_id, word, n, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS rank FROM c QUALIFY rank <= 5""")
 def agg_topics(spark, d):
     return passes.topics(base.turns(spark, d))
 

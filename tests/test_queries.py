@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ("current_facts", "src_chat_window", "ext_entities", "ext_facts_of_talk", "flt_dead_facts", "join_contradictions", "agg_superseded", "win_event_runs", "agg_sequences", "win_greedy",
          "ctx_pack_balanced", "gen_bullets", "set_diff", "set_union_facts", "ret_bm25", "ret_nearest", "fn_detect_language", "str_recent_context", "agg_histogram", "fn_inverse_relation",
-         "agg_pagerank", "fn_rouge", "gen_narrative", "agg_topics", "win_events_in_order", "fn_hashes", "join_uncached", "str_unseen")
+         "agg_pagerank", "fn_rouge", "gen_narrative", "agg_topics", "pass_query_pruning", "gen_adaptive", "win_knapsack", "win_near_duplicates", "str_priority_buffer", "set_smart_merge", "fn_summaries", "win_events_in_order", "fn_hashes", "join_uncached", "str_unseen")
 
 
 def plain(v):
