@@ -1,13 +1,15 @@
-"""Near copies: five-word shingles and a similarity of 0.8, decided by the sets of shingles themselves.
-
-Fingerprints of 64 bits that differ in 3 bits or fewer find few documents of that similarity, and positional bytes
-guarantee nothing at the distance where it lies. So candidates come from an index that misses none: of the shingles in
-one common order, rare ones first, two sets of similarity s share one of the first (1 - s) n + 1 of each. A count sketch
-of fixed size, over all documents, tells what is rare; the order needs only be the same everywhere, so the sketch's
-errors cost time and no link.
-
-Of two in a list, sizes and fingerprints of BITS bits are compared with room to spare. What that filter links makes
-groups; only there the sets, as hashes of 64 bits a shingle, are compared, and they decide.
+"""Near copies by SimHash: an inverted index of byte positions with count filtering, then the sets of shingles decide.
+
+Shingles have five words, and similar is 0.8. Fingerprints of 64 bits that differ in 3 bits or fewer find few documents
+of that similarity, and no group of positional bytes is sure to be shared at the distance where it lies. So fingerprints
+have BITS bits, and what is filed in one list comes from a rule that misses none: of the shingles in one common order,
+rare ones first, two sets of similarity s share one of the first (1 - s) n + 1 of each. A count sketch of fixed size,
+over all documents, tells what is rare; the order needs only be the same everywhere, so the sketch's errors cost time
+and no link.
+
+Within a list, postings by single positional bytes tally what each fingerprint shares with the others; pairs with too
+few go, then those whose sizes or bits are too far apart, both with room to spare. What is left makes groups; only there
+the sets, as hashes of 64 bits a shingle, are compared, and they decide.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ WORDS, SIMILARITY = 5, 0.8
 BITS = 512
 #: Standard deviations beyond the expected bits that similar sets may differ in: fewer than one pair in 10^12 has more.
 SPARE = 8
+#: Ways to deal a fingerprint's bits into bytes. One way gives 64 positional bytes, of which similar sets need not share any.
+DEALS = 6
+#: Share of the pairs of similar sets that the count filter may lose.
+LOST = 1e-12
 #: Counters of the sketch, in blocks that are summed apart. One byte a counter is shipped to every task.
 COUNTERS, BLOCKS = 1 << 20, 64
 #: A list longer than this is compared as pairs of chunks, each in a task of its own; so is a group with more members or bytes of sets.
@@ -38,6 +44,7 @@ CHUNK, CHUNK_BYTES = 4096, 8 << 20
 MEMO = 150_000
 
 _SEEDS = np.random.default_rng(512).integers(1, 1 << 63, BITS // 64).astype(np.uint64)
+_DEALT = np.concatenate([np.random.default_rng(k).permutation(BITS) for k in range(DEALS)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -158,8 +165,8 @@ def _lists_of(docs: DataFrame, classes: np.ndarray, words: int, similarity: floa
 
 
 @lru_cache
-def limit(similarity: float = SIMILARITY) -> int:
-    """Bits in which fingerprints of similar sets differ at most: those expected of the worst sizes, and SPARE deviations."""
+def _share(similarity: float) -> float:
+    """The share of bits in which fingerprints of similar sets are expected to differ, for the worst sizes."""
     def differ(a: int, b: int) -> float:
         both = int(np.ceil(similarity * (a + b) / (1 + similarity) - 1e-9))
         if both > min(a, b):
@@ -167,7 +174,12 @@ def limit(similarity: float = SIMILARITY) -> int:
         over = lambda n, s: sum(comb(n - both, k) for k in range(max(0, n // 2 + 1 - s), n - both + 1)) / 2 ** (n - both)
         return sum(comb(both, s) * ((p := over(a, s)) + (q := over(b, s)) - 2 * p * q) for s in range(both + 1)) / 2**both
 
-    share = max(acos(2 * similarity / (1 + similarity)) / pi, *(differ(a, b) for a in range(1, 33) for b in range(a, 33)))
+    return max(acos(2 * similarity / (1 + similarity)) / pi, *(differ(a, b) for a in range(1, 33) for b in range(a, 33)))
+
+
+def limit(similarity: float = SIMILARITY) -> int:
+    """Bits in which fingerprints of similar sets differ at most: those expected of the worst sizes, and SPARE deviations."""
+    share = _share(similarity)
     return min(BITS, int(np.ceil(BITS * share + SPARE * np.sqrt(BITS * share * (1 - share)))))
 
 
@@ -177,6 +189,46 @@ def close(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.nd
     return (np.bitwise_count(a[..., :-1] ^ b[..., :-1]).sum(axis=-1, dtype=np.int64) <= limit(similarity)) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
 
 
+@lru_cache
+def shared(similarity: float = SIMILARITY) -> int:
+    """Positional bytes that fingerprints of similar sets share at least: of pairs of the worst sizes, a share of LOST has fewer.
+
+    Counted as if bytes were independent, given how many bits differ; tallies over all deals vary less than that.
+    """
+    n, share, d = DEALS * BITS // 8, _share(similarity), np.arange(BITS + 1)
+    often = np.array([comb(BITS, k) * share**k * (1 - share) ** (BITS - k) for k in range(BITS + 1)])  # that k bits differ
+    same = np.prod([np.maximum(BITS - d - i, 0) / (BITS - i) for i in range(8)], axis=0)  # that a byte has none of d bits
+    fewer = np.cumsum([comb(n, k) * (often * same**k * (1 - same) ** (n - k)).sum() for k in range(n + 1)])
+    return int((fewer <= LOST).sum())
+
+
+def positional(fps: np.ndarray) -> np.ndarray:
+    """The positional bytes of each row: its fingerprint's bits, dealt into bytes in DEALS ways."""
+    out = np.zeros((len(fps), len(_DEALT) // 8), np.uint8)
+    for k in range(0, len(fps), CHUNK):
+        bits = np.unpackbits(np.ascontiguousarray(fps[k:k + CHUNK, :-1]).view(np.uint8), axis=1)
+        out[k:k + CHUNK] = np.packbits(bits[:, _DEALT], axis=1)
+    return out
+
+
+def _tallies(grid: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """For rows and one more: the positional bytes that each shares with it, from postings by position and byte."""
+    m, n = grid.shape
+    rows = np.argsort(grid.T, axis=1, kind="stable").astype(np.int32).ravel()
+    sizes = np.bincount((grid + 256 * np.arange(n, dtype=np.int32)).ravel(), minlength=256 * n)
+    starts = np.cumsum(sizes) - sizes
+
+    def tally(at: np.ndarray, u: int) -> np.ndarray:
+        lists = 256 * np.arange(n) + grid[u]
+        some = sizes[lists]
+        total = int(some.sum())
+        if 16 * total > len(at) * n:  # long lists, or few rows: counting their bytes is shorter
+            return np.count_nonzero(grid[at] == grid[u], axis=1)
+        return np.bincount(rows[np.arange(total) + np.repeat(starts[lists] - np.cumsum(some) + some, some)], minlength=m)[at]
+
+    return tally
+
+
 def _tree(side: np.ndarray, test: Callable[[np.ndarray, int], np.ndarray]) -> list[tuple[int, int]]:
     """Edges that join what links join: at most one fewer than there are rows. side: 0 in both chunks, 1 and 2 in one."""
     rest, out = np.ones(len(side), bool), []
@@ -199,16 +251,24 @@ def _edges(key: np.ndarray, fps: np.ndarray, side: np.ndarray, similarity: float
     """Places of linked rows within lists; equal keys are adjacent."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[first, len(key)])
+    grid, least = positional(fps), shared(similarity)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     small = np.repeat(sizes <= 64, sizes)
     for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
         at = np.flatnonzero((key[d:] == key[:-d]) & small[d:] & ((side[d:] != side[:-d]) | (side[d:] == 0)))
+        at = np.concatenate([at[:0], *(x[np.count_nonzero(grid[x] == grid[x + d], axis=1) >= least] for x in np.split(at, range(CHUNK, len(at), CHUNK)))])
         at = at[close(fps[at], fps[at + d], similarity)] if len(at) else at
         a.append(at)
         b.append(at + d)
     for s, m in zip(first[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-        own = fps[s:s + m]
-        if e := _tree(side[s:s + m], lambda at, u: close(own[at], own[u], similarity)):
+        own, tally = fps[s:s + m], _tallies(grid[s:s + m])
+
+        def test(at: np.ndarray, u: int) -> np.ndarray:
+            near = tally(at, u) >= least
+            near[near] = close(own[at[near]], own[u], similarity)
+            return near
+
+        if e := _tree(side[s:s + m], test):
             e = np.array(e) + s
             a.append(e[:, 0])
             b.append(e[:, 1])

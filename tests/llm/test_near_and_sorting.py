@@ -133,6 +133,45 @@ def test_prefixes_of_similar_sets_meet():
             assert len(np.intersect1d(near_copies.prefix(a, classes), near_copies.prefix(b, classes)))
 
 
+def rows_of(sets):
+    """Rows as near_copies compares them: a fingerprint in words of 64 bits, and the size of the set."""
+    return np.array([[*np.frombuffer(near_copies.fingerprint(x), np.uint64), len(x)] for x in sets], np.uint64)
+
+
+def test_positional_bytes_of_similar_sets_are_tallied():
+    r = np.random.default_rng(8)
+    for both, a, b in [(4, 4, 5), (5, 5, 6), (8, 9, 9), (80, 80, 100), (80, 90, 90)]:  # similarities of 0.8, and the least above for short texts
+        x = [r.integers(0, 1 << 63, a + b - both).astype(np.uint64) for _ in range(300)]
+        fps = rows_of([y for s in x for y in (s[:a], np.r_[s[:both], s[a:]])])
+        grid = near_copies.positional(fps)
+        tally = near_copies._tallies(grid)
+        plain = np.array([(grid == g).sum(axis=1) for g in grid])
+        for u in range(len(grid)):  # by postings, and by counting where few rows are asked for
+            assert (tally(np.arange(len(grid)), u) == plain[u]).all() and (tally(np.array([u ^ 1]), u) == plain[u, u ^ 1]).all()
+        assert plain[np.arange(0, 600, 2), np.arange(1, 600, 2)].min() >= near_copies.shared()
+        if a >= 80:  # other texts' seldom share so many
+            assert (plain[::2, ::2][~np.eye(300, dtype=bool)] >= near_copies.shared()).mean() < 0.02
+    assert near_copies.shared(1.0) == grid.shape[1] and near_copies.shared(0.9) > near_copies.shared(0.8) > 0
+
+
+@pytest.mark.parametrize("others", [0, 100])
+def test_pairs_that_share_few_positional_bytes_go(others):
+    """In short and long lists: bits near enough, but in so many bytes that similar sets surely share more."""
+    r = np.random.default_rng(9)
+    fps = np.c_[r.integers(0, 1 << 63, (others + 3, near_copies.BITS // 64)), np.full(others + 3, 100)].astype(np.uint64)
+    fps[1], fps[2] = fps[0], fps[0]
+    fps[1, 0] ^= np.uint64(1)
+    free = np.ones(near_copies.DEALS * near_copies.BITS // 8, bool)
+    places = [set(np.flatnonzero(near_copies._DEALT == k) // 8) for k in range(near_copies.BITS)]
+    while free.sum() >= near_copies.shared():
+        k = max(range(near_copies.BITS), key=lambda b: sum(free[p] for p in places[b]))
+        free[list(places[k])] = False
+        fps[2].view(np.uint8)[k // 8] ^= 128 >> k % 8
+    assert near_copies.close(fps[0], fps[2]) and near_copies.close(fps[1], fps[2])
+    a, b = near_copies._edges(np.zeros(len(fps), np.int64), fps, np.zeros(len(fps), np.int64))
+    assert set(zip(a.tolist(), b.tolist())) == {(0, 1)}
+
+
 def test_pipeline(spark):
     """Each stage on what the one before kept, and what it decides against plain versions."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
