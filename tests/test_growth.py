@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import ir
 from palimpsest.functions import similarity as sim
-from palimpsest.operators import evaluation
+from palimpsest.operators import evaluation, retrieval
 
 
 def joins_on_more_than_keys(df) -> list[str]:
@@ -37,3 +37,28 @@ def test_fact_recall_is_that_of_all_pairs(spark, threshold):
     want = {c: sum(f"fact_{k}" not in hit for k in range(60) if k % 2 == c) for c in (0, 1)}
     assert {r["conv_id"]: r["missed"] for r in got.collect()} == want and 0 < sum(want.values()) < 60
     assert joins_on_more_than_keys(got) == []
+
+
+def all_pairs(v, q, k, least):
+    """The nearest by the plain definition: every query with every row; vectors of different lengths have no score."""
+    from palimpsest.operators.selection import top_k
+
+    score = F.when(F.size("q") == F.size("embedding"), sim.cosine(F.col("q"), F.col("embedding")))
+    both = v.crossJoin(F.broadcast(q.select("query_id", F.col("embedding").alias("q")))).select("query_id", "vec_id", score.alias("score"))
+    both = both if least is None else both.filter(F.col("score") >= least)
+    return top_k(both, k, [F.desc("score"), F.col("vec_id")], "query_id")
+
+
+@pytest.mark.parametrize("least", (0.0, None))
+def test_nearest_is_that_of_all_pairs(spark, least):
+    r = np.random.default_rng(5)
+    vs = [r.normal(size=6).tolist() for _ in range(60)]
+    odd = [vs[3], vs[3], [2 * x for x in vs[3]], [0.0] * 6, [0.0] * 6, [1e-9] * 6, None, [1.0, None, 2.0, 1.0, 1.0, 1.0], [1.0, 2.0], [3.0, 1.0], [], [float("nan")] * 6, [1e-6] * 6, [1e160] * 6]
+    rows = [(k, x) for k, x in enumerate([*vs, *odd])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([x for x in rows if x[0] % 4 == 0 or x[0] > 55], "query_id bigint, embedding array<double>")
+    out = lambda df: sorted(((r["query_id"], r["rank"], r["vec_id"], repr(r["score"])) for r in df.collect()))
+    got = retrieval.nearest(v, q, 4, least=least)
+    assert out(got) == out(all_pairs(v, q, 4, least)) and joins_on_more_than_keys(got) == []
+    names = lambda df: df.withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))
+    assert out(retrieval.nearest(names(v), q, 4, least=least)) == out(all_pairs(names(v), q, 4, least))
