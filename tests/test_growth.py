@@ -62,3 +62,12 @@ def test_nearest_is_that_of_all_pairs(spark, least):
     assert out(got) == out(all_pairs(v, q, 4, least)) and joins_on_more_than_keys(got) == []
     names = lambda df: df.withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))
     assert out(retrieval.nearest(names(v), q, 4, least=least)) == out(all_pairs(names(v), q, 4, least))
+
+
+def test_nearest_behind_a_filter_takes_each_query_once(spark, monkeypatch):
+    v = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 3)).alias("embedding"), (F.col("id") % 3).alias("label"))
+    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    got = retrieval.nearest(v, q, 3, least=None, where=F.col("label") == 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, all_pairs(v.filter("label = 1"), q, 3, None).collect())) and got.count() == 90
+    assert joins_on_more_than_keys(got) == []
