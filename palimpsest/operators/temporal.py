@@ -112,10 +112,13 @@ def phase_scores(memory: Memory, least: int = 5) -> DataFrame:
 
 
 def compress_phases(memory: Memory, least: int = 5, cut: float = 0.3, turns: int = 10) -> Memory:
-    """The least phases' events become one each, until that share of events is gone; short conversations stay."""
+    """The least phases' events become one each, until that share of events is gone; short conversations stay.
+
+    Scores that differ in a sum's last bits are equal, and the first phase goes first.
+    """
     s = phase_scores(memory, least).filter(F.col("num_turns") >= turns)
     all_events = F.sum("n_events").over(Window.partitionBy("conv_id"))
-    w = Window.partitionBy("conv_id").orderBy("score", "phase")
+    w = Window.partitionBy("conv_id").orderBy(F.round("score", 12), "phase")
     saved = F.when(F.col("n_events") >= 2, F.col("n_events") - 1).otherwise(0)
     before = F.coalesce(F.sum(saved).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     picked = s.withColumns({"all": all_events, "before": before}).filter((F.col("all") - F.col("before") > F.floor(F.col("all") * (1 - cut))) & (F.col("n_events") >= 2))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import ir
 from palimpsest.functions import similarity as sim
-from palimpsest.operators import evaluation, retrieval
+from palimpsest.operators import evaluation, retrieval, temporal
 
 
 def joins_on_more_than_keys(df) -> list[str]:
@@ -71,3 +71,13 @@ def test_nearest_behind_a_filter_takes_each_query_once(spark, monkeypatch):
     got = retrieval.nearest(v, q, 3, least=None, where=F.col("label") == 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, all_pairs(v.filter("label = 1"), q, 3, None).collect())) and got.count() == 90
     assert joins_on_more_than_keys(got) == []
+
+
+def test_phases_of_equal_scores_go_in_order(spark):
+    # 0.4 * 1.1 + 0.4 * 1 / 2 and 0.4 * 0.6 + 0.4 * 2 / 2 are 0.64 both, and the first is larger in the last bit.
+    event = lambda k, turn, imp: (1, f"evt_{k}", k, "x", "action", turn, ["p"], [], imp)
+    events = spark.createDataFrame([event(0, 0, 0.2), event(1, 1, 0.9), event(2, 5, 0.3), event(3, 6, 0.3)], ir.SCHEMAS["events"])
+    talk = spark.createDataFrame([(1, k, "user", "x") for k in range(10)], ir.SCHEMAS["turns"])
+    m = ir.empty(spark).with_(turns=talk, events=events)
+    assert len({r["score"] for r in temporal.phase_scores(m).collect()}) == 2
+    assert sorted(r["turn"] for r in temporal.compress_phases(m, cut=0.25).events.collect()) == [0, 5, 6]
