@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import ir
 from palimpsest.functions import similarity as sim
+from palimpsest.functions.text import ident
 from palimpsest.operators import evaluation, retrieval, temporal
 
 
@@ -81,3 +82,8 @@ def test_phases_of_equal_scores_go_in_order(spark):
     m = ir.empty(spark).with_(turns=talk, events=events)
     assert len({r["score"] for r in temporal.phase_scores(m).collect()}) == 2
     assert sorted(r["turn"] for r in temporal.compress_phases(m, cut=0.25).events.collect()) == [0, 5, 6]
+
+
+def test_ids_of_many_rows_differ(spark):
+    ids = spark.range(300_000).select(ident("ent_", F.lit(1), F.col("id")).alias("k"))
+    assert ids.agg(F.countDistinct("k")).first()[0] == 300_000
