@@ -60,18 +60,59 @@ def match_score(a: str = "a", b: str = "b", vectors: bool = False) -> Column:
     return F.when(F.lower(c(a, "name")) == F.lower(c(b, "name")), 1.0).when(c(a, "type") != c(b, "type"), 0.0).when(F.arrays_overlap(low(a), low(b)), 0.95).otherwise(near)
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float = 0.8, vectors: bool = False) -> DataFrame:
-    """(conv_id, a, b, oa, ob, score) of pairs in one conversation at the threshold or above.
+def _spelt(df: DataFrame, side: str) -> DataFrame:
+    """(conv_id, type, ent_id as i{side}, and the sorted letters of its name): names of one spelling of letters score alike."""
+    text = F.lower(F.regexp_replace("name", " ", ""))
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return df.select("conv_id", "type", F.col("ent_id").alias(f"i{side}"), (letters if side == "a" else F.array_distinct(letters)).alias(f"l{side}"), F.length(text).alias(f"n{side}"))
 
-    Pairs are made within a conversation by a shared first letter of any word, alias included, or a shared letter pair:
-    letters enough for a score of 0.8 share one; nothing crosses conversations.
+
+def _alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(conv_id, ia, ib) of one type whose names' letters reach the threshold, which is over 0.
+
+    The letters of names are compared, not names: different ones of left, rarest letter first, and different sets of right. A
+    right set lacks at most so many letters, so it has one of the rarest that are more.
+    """
+    own, other = _spelt(left, "a"), _spelt(right, "b")
+    xs, ys = own.select("conv_id", "type", "la", "na").distinct(), other.select("conv_id", "type", "lb", "nb").distinct()
+    posts = ys.withColumn("k", F.explode("lb"))
+    df = posts.groupBy("conv_id", "type", "k").agg(F.count(F.lit(1)).alias("df"))
+    each = xs.withColumn("k", F.explode(F.array_distinct("la"))).join(df, ["conv_id", "type", "k"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rare = each.groupBy("conv_id", "type", "la", "na").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("r"))
+    count = lambda k: F.size(F.filter("la", lambda c: c == k))
+    spare = F.col("na") - F.ceil(F.col("na") * F.lit(threshold) - 1e-9)
+    before = lambda i: F.aggregate(F.slice("r", 1, i), F.lit(0), lambda n, x: n + count(x["k"]))
+    probes = rare.withColumn("probe", F.filter("r", lambda x, i: before(i) <= spare)).select("conv_id", "type", "la", "na", F.explode("probe.k").alias("k"))
+    hits = F.size(F.filter("la", lambda c: F.array_contains("lb", c)))
+    met = probes.join(posts, ["conv_id", "type", "k"]).filter(hits >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9).select("conv_id", "type", "la", "na", "lb", "nb").distinct()
+    return own.join(met, ["conv_id", "type", "la", "na"]).join(other, ["conv_id", "type", "lb", "nb"]).select("conv_id", "ia", "ib")
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: float = 0.8, vectors: bool = False, equal: bool = False) -> DataFrame:
+    """(conv_id, a, b, oa, ob, score) of pairs in one conversation at the threshold or above; with equal, only of names equal but for case.
+
+    Pairs meet by equal names, by a shared alias, and by the letters of names; only with vectors by any shared letter.
+    Nothing crosses conversations.
     """
-    def keyed(df: DataFrame) -> DataFrame:
+    blank = lambda c: F.replace(c, F.lit(" "), F.lit("")) == ""
+
+    def named(df: DataFrame, side: str, column) -> DataFrame:
+        return df.select("conv_id", *([] if side in "ab" else ["type"]), F.col("ent_id").alias(f"i{side[0]}"), column.alias("n")).filter(~blank(F.col("n"))).distinct()
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
         text = F.lower(F.regexp_replace(F.concat_ws("", F.array(F.col("name")), F.col("aliases")), " ", ""))
-        return df.withColumn("k", F.explode(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))))
+        return df.select("conv_id", F.col("ent_id").alias(f"i{side}"), F.explode(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))).alias("k"))
 
-    key = keyed(left.select("conv_id", "ent_id", "name", "aliases")).select("conv_id", F.col("ent_id").alias("ia"), "k").join(
-        keyed(right.select("conv_id", "ent_id", "name", "aliases")).select("conv_id", F.col("ent_id").alias("ib"), "k"), ["conv_id", "k"]).select("conv_id", "ia", "ib").distinct()
+    same = named(left, "a", F.lower("name")).join(named(right, "b", F.lower("name")), ["conv_id", "n"])
+    if equal:
+        key = same
+    elif vectors or threshold <= 0:
+        key = keyed(left, "a").join(keyed(right, "b"), ["conv_id", "k"])
+    else:
+        names = F.explode(F.transform(F.array_union(F.array("name"), "aliases"), lambda x: F.lower(x)))
+        shared = named(left, "a+", names).join(named(right, "b+", names), ["conv_id", "type", "n"])
+        key = same.select("conv_id", "ia", "ib").unionByName(shared.select("conv_id", "ia", "ib")).unionByName(_alike(left, right, threshold))
+    key = key.select("conv_id", "ia", "ib").distinct()
     a, b = left.alias("a"), right.alias("b")
     both = key.join(a, (key["conv_id"] == F.col("a.conv_id")) & (key["ia"] == F.col("a.ent_id"))).join(b, (key["conv_id"] == F.col("b.conv_id")) & (key["ib"] == F.col("b.ent_id")))
     scored = both.select(key["conv_id"], "ia", "ib", F.col("a.ord").alias("oa"), F.col("b.ord").alias("ob"), match_score("a", "b", vectors).alias("score")).filter(F.col("score") >= threshold)

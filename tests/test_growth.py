@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest import ir
 from palimpsest.functions import similarity as sim
 from palimpsest.functions.text import ident
-from palimpsest.operators import evaluation, retrieval, temporal
+from palimpsest.operators import evaluation, merging, retrieval, temporal
 
 
 def joins_on_more_than_keys(df) -> list[str]:
@@ -87,3 +87,19 @@ def test_phases_of_equal_scores_go_in_order(spark):
 def test_ids_of_many_rows_differ(spark):
     ids = spark.range(300_000).select(ident("ent_", F.lit(1), F.col("id")).alias("k"))
     assert ids.agg(F.countDistinct("k")).first()[0] == 300_000
+
+
+@pytest.mark.parametrize("threshold", (0.3, 0.8, 0.999))
+def test_candidates_are_those_of_all_pairs(spark, threshold):
+    r = random.Random(3)
+    words = ["Ann", "nan", "ANN", "Bo", "Anna Lee", "lee", "", " ", "Customer 12", "customer 21", "x", "aab", "abb"]
+    rows = lambda n: [(k % 2, f"e{k}", k, r.choice(words), r.choice(("person", "other")), r.sample(["Lee", "ann", "B."], r.randint(0, 1)), {}, [], 0.1) for k in range(n)]
+    a, b = (spark.createDataFrame(rows(n), ir.SCHEMAS["entities"]) for n in (40, 50))
+    text = lambda s: F.lower(F.regexp_replace(F.concat_ws("", F.col(f"{s}.name"), F.concat_ws("", f"{s}.aliases")), " ", ""))
+    shared = F.exists(F.split(text("a"), ""), lambda c: (c != "") & (F.instr(text("b"), c) > 0))
+    both = a.alias("a").join(b.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & shared).select(F.col("a.ent_id").alias("x"), F.col("b.ent_id").alias("y"), "a.name", F.col("b.name").alias("other"), merging.match_score().alias("score"))
+    want = {(x["x"], x["y"], x["score"]): x["name"].lower() == x["other"].lower() for x in both.filter(F.col("score") >= threshold).collect()}
+    out = lambda df: {(x["a"], x["b"], x["score"]) for x in df.collect()}
+    got = merging.candidates(a, b, threshold)
+    assert out(got) == set(want) and want
+    assert out(merging.candidates(a, b, threshold, equal=True)) == {k for k, v in want.items() if v}
